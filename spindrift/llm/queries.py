@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .common import read
+from .minhash import NearDuplicates
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .token_counts import token_counts
@@ -48,6 +50,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = NearDuplicates(shingle=3, percent=85, bands=25)
+    found = near.classes(read(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -63,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+    "op6_minhash": op6_minhash,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
