@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .token_counts import token_counts
+from .vectors import MetricJoin
 from .urls import rule_table, url_filter
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,6 +46,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = MetricJoin().classes(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words")
@@ -74,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
