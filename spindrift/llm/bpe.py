@@ -197,19 +197,26 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, t
     coder = encoder(path, pattern, most_words)
     for batch in batches:
         for part in slices(batch, text, block_bytes):
-            lists = coder.block(part.column(text).to_pylist())
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+            coded = coder.block(part.column(text).to_pylist())
+            offsets = np.zeros(len(coded) + 1, np.int32)
+            np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)), out=offsets[1:])
+            flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
             rest = [n for n in part.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*rest, "ids"])
 
 
+def lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of an array of ids, empty for null; much faster than the array's own conversion."""
+    ends = column.offsets.to_pylist()
+    ids = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).tolist()
+    return [ids[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Batches with ``ids`` to the same with ``decoded`` bytes added."""
     tokens = Vocabulary.load(path).tokens
     for batch in batches:
-        made = pa.array([b"".join([tokens[i] for i in ids or ()]) for ids in batch.column("ids").to_pylist()], pa.binary())
+        made = pa.array([b"".join([tokens[i] for i in ids]) for ids in lists(batch.column("ids"))], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "decoded"])
 
 
@@ -217,7 +224,7 @@ def _without(schema: T.StructType, *names: str) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in names])
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = 4_000_000, most_words: int = 400_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = 12_000_000, most_words: int = 400_000) -> DataFrame:
     """``docs`` with ``ids`` (array of int) instead of ``text``.
 
     Every match of ``pattern`` is encoded by itself; null and empty texts have no ids. Texts are

@@ -35,10 +35,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = bpe.encode_batches(batches, path, pattern, "text", 4_000_000, 400_000)
+        coded = bpe.encode_batches(batches, path, pattern, "text", 12_000_000, 400_000)
         text = bpe.Vocabulary.load(path).text
         for batch in bpe.decode_batches(coded, path):
-            ids = batch.column("ids").to_pylist()
+            ids = bpe.lists(batch.column("ids"))
             digests = [hashlib.sha256(" ".join([text[i] for i in x]).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
