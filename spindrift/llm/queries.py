@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .chat import format_chats
+from .classifier import classify, train
 from .common import read
 from .minhash import NearDuplicates
 from .packing import pack_documents
@@ -66,6 +68,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = classify(docs, train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -84,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_chat_format": op8_chat_format,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
