@@ -1,12 +1,71 @@
-"""A cleaning pipeline over ``documents``; grows with the operators it calls."""
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage but the last returns the columns of ``documents``. What a stage decides takes effect:
+rejected documents and copies go, failed lines leave the text and secrets are masked in it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm.classifier import classify, train
+from spindrift.llm.common import cut, read
+from spindrift.llm.minhash import NearDuplicates
+from spindrift.llm.packing import pack_documents
+from spindrift.llm.quality_rules import quality_rules
+from spindrift.llm.secret_scan import scan_secrets
+
+MASK = "[SECRET]"
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns`` of ``docs`` with its column ``text`` as the text, and the length that goes with it."""
+    made = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return docs.select(*[made.get(c, F.col(c)) for c in columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that fail them."""
+    return _with_text(quality_rules(docs).where("kept"), docs.columns, "cleaned")
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good; it learns from labelled raw documents."""
+    model = train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return classify(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, a similarity of 0.8 or more."""
+    return NearDuplicates().deduplicated(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return _with_text(scan_secrets(docs, redact=MASK), docs.columns, "text")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("quality_classifier", classifier_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: SQL can't express the classifier and the packing; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

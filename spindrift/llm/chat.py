@@ -26,9 +26,12 @@ def parsed(text: Column) -> Column:
 
 def content(lines: Column) -> Column:
     """A message without quoted lines and without the lines that announce them, outer white space cut."""
-    announces = lambda x, i: x["body"].rlike(ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
-    own = F.transform(lines, lambda x, i: F.when((x["level"] == 0) & ~announces(x, i), x["body"]))
-    return F.regexp_replace(F.array_join(F.array_compact(own), "\n"), f"^{SPACE}+|{SPACE}+$", "")
+
+    def own(x: Column) -> Column:
+        announces = lambda y, i: y["body"].rlike(ATTRIBUTION) & (F.coalesce(F.get(x, i + 1)["level"], F.lit(0)) > 0)
+        return F.array_join(F.array_compact(F.transform(x, lambda y, i: F.when((y["level"] == 0) & ~announces(y, i), y["body"]))), "\n")
+
+    return F.regexp_replace(F.transform(F.array(lines), own)[0], f"^{SPACE}+|{SPACE}+$", "")
 
 
 def passages(lines: Column) -> Column:

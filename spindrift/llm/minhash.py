@@ -265,3 +265,19 @@ class NearDuplicates:
         comp = components(links).withColumnRenamed("node", "doc")
         out = signed.select("doc", "n_shingles").join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         return out.withColumn("kept", F.coalesce(F.col("component") == F.col("doc"), F.lit(True)))
+
+    def deduplicated(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with one row of each class: that of the smallest id, once where it is repeated.
+
+        Texts aren't shuffled: the ids to drop go to the rows, by broadcast up to ``most_ids`` of
+        them and by a join beyond. Rows with a null id all stay.
+        """
+        found = cut(self.classes(docs), "classes")
+        dropped = found.where(~F.col("kept")).select(F.col("doc").alias(self.id)).distinct()
+        repeated = found.where("kept and doc is not null").groupBy(F.col("doc").alias(self.id)).agg(F.count("*").alias("n")).where("n > 1").select(self.id)
+        small = lambda ids: F.broadcast(ids) if ids.count() <= self.most_ids else ids
+        stays = docs.join(small(dropped), self.id, "left_anti").select(docs.columns)
+        if repeated.isEmpty():
+            return stays
+        twice = stays.join(small(repeated), self.id, "left_semi").dropDuplicates([self.id])
+        return stays.join(small(repeated), self.id, "left_anti").unionByName(twice).select(docs.columns)

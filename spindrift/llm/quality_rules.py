@@ -25,6 +25,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _once(value: Column) -> Column:
+    """``value``, closed to the optimizer, which might else copy it into filters and lambdas.
+
+    The draw is never negative; that it is a draw keeps the expression in its place.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def line_fails(line: Column, n_words: Column) -> Column:
     """Whether a line with ``n_words`` words, one at least, is no prose.
 
@@ -38,6 +46,35 @@ def line_fails(line: Column, n_words: Column) -> Column:
     return (marks >= n_words) | ((n_words < SHORT_LINE_WORDS) & ~ended) | ((separators >= 3) & (separators * 2 >= n_words)) | ((n_words <= MOST_BOILERPLATE_WORDS) & ascii_lower(line).rlike(BOILERPLATE))
 
 
+def measured(text: Column) -> Column:
+    """All measures of a text as one struct. Lines, verdicts on lines and words are computed once each."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
+    judge = lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), ((F.size(x["words"]) > 0) & line_fails(x["line"], F.size(x["words"]))).alias("fails"))
+
+    def all_of(checked: Column, words: Column) -> Column:
+        full = F.filter(checked, lambda x: x["n"] > 0)
+        failed = F.filter(checked, lambda x: x["fails"])
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            (F.size(full) - F.size(F.array_distinct(F.transform(full, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
+            F.when(F.size(words) >= 3, _let(window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeated_words(words)))).cast("long").alias("n_repeat_words"),
+            F.size(full).cast("long").alias("n_lines"),
+            F.size(failed).cast("long").alias("n_failed_lines"),
+            F.aggregate(failed, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("lost_words"),
+            F.array_join(F.transform(F.filter(checked, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"),
+        )
+
+    by_words = lambda x: _let(F.flatten(F.transform(x, lambda y: y["words"])), lambda w: _let(F.transform(x, judge), lambda c: all_of(c, w)))
+    return _let(lines, by_words)
+
+
+def window_hashes(words: Column) -> Column:
+    """A hash of each window of three words. Equal windows have equal hashes, so with all of them
+    different nothing is repeated."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three words that the array holds twice or more.
 
@@ -69,31 +106,9 @@ def quality_rules(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "lost_words", "cleaned", "kept")
     docs = docs.drop(*made)
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.withColumn("__lines", F.transform(F.split(whole, "\n"), lambda x: F.struct(x.alias("line"), _words(x).alias("words"))))
-    # each of these columns is read more than once further up, which keeps the optimizer from
-    # moving its expression into a lambda, where it would run for every element
-    checked = lines.select(
-        *docs.columns,
-        F.flatten(F.transform("__lines", lambda x: x["words"])).alias("__words"),
-        F.transform(F.filter("__lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"]).alias("__full"),
-        F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("n"), ((F.size(x["words"]) > 0) & line_fails(x["line"], F.size(x["words"]))).alias("fails"))).alias("__checked"),
-    )
-    counted = checked.select(
-        *docs.columns,
-        "__words",
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(whole, NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
-        F.size("__full").cast("long").alias("n_lines"),
-        F.size(F.filter("__checked", lambda x: x["fails"])).cast("long").alias("n_failed_lines"),
-        F.aggregate(F.filter("__checked", lambda x: x["fails"]), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("lost_words"),
-        F.array_join(F.transform(F.filter("__checked", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"),
-        # equal windows have equal hashes: with all hashes different there is nothing to count
-        F.when(F.size("__words") >= 3, F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.xxhash64(F.col("__words")[i], F.col("__words")[i + 1], F.col("__words")[i + 2]))).alias("__hashes"),
-    )
-    some = F.coalesce(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), F.lit(False))
-    judged = counted.withColumn("n_repeat_words", F.when(some, repeated_words(F.col("__words"))).otherwise(0).cast("long"))
-    judged = judged.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(float(most_lost))))
-    return judged.select(*docs.columns, *made)
+    q = docs.withColumn("__q", _once(measured(whole)))
+    q = q.withColumns({n: F.col(f"__q.{n}") for n in made if n not in ("n_symbols", "n_repeat_words", "base_failed", "kept")})
+    q = q.withColumns({"n_symbols": F.length(F.regexp_replace(whole, NOT_SYMBOLS, "")).cast("long"), "n_repeat_words": F.coalesce("__q.n_repeat_words", F.lit(0).cast("long"))})
+    q = q.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    q = q.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(float(most_lost))))
+    return q.select(*docs.columns, *made)
