@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
@@ -88,6 +88,50 @@ def surviving(a: np.ndarray, b: np.ndarray, steps: list[int], least: list[int])
     return left
 
 
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """``rows`` (key, doc, ...) dealt into ``blocks`` per key by hash; each row once for every block
+    that its own meets: columns own, i and j with i <= j name the item."""
+    n = blocks.cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
+def by_item(rows: DataFrame, work: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each item (key, i, j), several rows at least.
+
+    Rows are sorted by item within partitions and read as a stream, so that many small items share
+    a batch and memory holds one item and one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for s, e in zip([0, *edges], [*edges, len(key)], strict=True):
+                if e - s > 1 and (made := work(table.slice(s, e - s))):
+                    yield pa.RecordBatch.from_pydict(made)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            first = [kept[0].column(c)[0].as_py() for c in ("key", "i", "j")]
+            if (key[-1], i[-1], j[-1]) == tuple(first):
+                continue  # one item so far
+            table = pa.Table.from_batches(kept)
+            last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            at = len(table) - len(key) + (last[-1] + 1 if len(last) else 0)
+            yield from finish(table.slice(0, at))
+            kept = table.slice(at).to_batches()
+        if kept:
+            yield from finish(pa.Table.from_batches(kept))
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
 class NearDuplicates:
     """Near-duplicate links between documents by Jaccard similarity of word shingles.
 
@@ -96,9 +140,9 @@ class NearDuplicates:
     comparison of signatures may prune a pair of ``similarity``; survivors are verified on sets.
     """
 
-    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text: str = "text", block: int = 1024, most_ids: int = 4_000_000):
+    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text: str = "text", block: int = 4096, block_shingles: int = 4_000_000, most_ids: int = 4_000_000):
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
-        self.id, self.text, self.block, self.most_ids = id_col, text, block, most_ids
+        self.id, self.text, self.block, self.block_shingles, self.most_ids = id_col, text, block, block_shingles, most_ids
         self.hashing = Hashing(bands * rows)
         self.steps = sorted({min(n, bands * rows) for n in (32, 64, 96, bands * rows)})
         self.least = least_matches(self.steps, percent / 100, miss)
@@ -177,63 +221,65 @@ class NearDuplicates:
         pairs = rated.join(leaders, "key").where("doc <> leader")
         return pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
-    def residual_pairs(self, banded: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
-        """Surviving pairs of buckets that still hold more than one component, each component apart.
+    def residual_links(self, banded: DataFrame, comp: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+        """Links between the components that stars have left apart in one bucket.
 
-        Buckets are cut into blocks of ``block`` documents; every two blocks of a bucket meet in a
-        work item of their own, which compares signatures in place and returns survivors only.
+        Work items are pairs of blocks of a bucket. The first pass compares signatures in place and
+        returns the documents with a surviving candidate, the second brings the sets of those
+        together in blocks of bounded size and counts intersections in place. Neither returns the
+        pairs it tests: of the links found, an item returns a spanning forest of its components.
         """
         rows = banded.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = rows.join(mixed, "key").join(sigs.select("doc", "sig"), "doc")
-        blocks = F.ceil(F.col("n") / self.block).cast("int")
-        own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-        dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "sig")
-        steps, least = self.steps, self.least
-
-        def item(own: np.ndarray, doc: np.ndarray, comp: np.ndarray, sig: np.ndarray, i: int, j: int) -> list[np.ndarray]:
-            first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            out = []
-            for x in first:
-                others = second[(doc[second] > doc[x]) & (comp[second] != comp[x])] if i == j else second[comp[second] != comp[x]]
+        steps, least, percent = self.steps, self.least, self.percent
+
+        def compare(t: pa.Table) -> dict | None:
+            own, doc, comp = (t.column(c).to_numpy() for c in ("own", "doc", "comp"))
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(doc), -1)
+            second, near = np.flatnonzero(own == j), np.zeros(len(doc), bool)
+            for x in np.flatnonzero(own == i):
+                others = second[comp[second] != comp[x]]
                 left = others[surviving(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], steps, least)]
                 if len(left):
-                    out.append(np.stack([np.minimum(doc[left], doc[x]), np.maximum(doc[left], doc[x])]))
-            return out
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[pa.RecordBatch] = []
-
-            def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
-                key, i, j, own, doc, comp = (table.column(n).to_numpy() for n in ("key", "i", "j", "own", "doc", "comp"))
-                sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(key), -1)
-                edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-                out = []
-                for s, e in zip([0, *edges], [*edges, len(key)], strict=True):
-                    if e - s > 1:
-                        out += item(own[s:e], doc[s:e], comp[s:e], sig[s:e], i[s], j[s])
-                if out:
-                    a, b = np.concatenate(out, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-            # rows are sorted by item: all but the last item of what has come are complete
-            for batch in batches:
-                kept.append(batch)
-                table = pa.Table.from_batches(kept)
-                if not len(table):
-                    continue
-                key, i, j = (table.column(n).to_numpy() for n in ("key", "i", "j"))
-                other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-                if len(other):
-                    yield from finish(table.slice(0, other[-1] + 1))
-                    table = table.slice(other[-1] + 1)
-                kept = table.to_batches()
-            if kept:
-                yield from finish(pa.Table.from_batches(kept))
-
-        spread = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return spread.mapInArrow(run, "a long, b long").distinct()
+                    near[x] = near[left] = True
+            key = t.column("key").to_numpy()
+            return {"key": key[near], "doc": doc[near], "comp": comp[near]} if near.any() else None
+
+        def verify(t: pa.Table) -> dict | None:
+            doc, label = t.column("doc").to_numpy(), t.column("comp").to_numpy().copy()
+            column = t.column("shingles").combine_chunks()
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy()
+            codes = np.unique(flat, return_inverse=True)[1]
+            starts = np.cumsum(sizes) - sizes
+            member, out = np.zeros(codes.max() + 1, bool), []
+            names, counts = np.unique(label, return_counts=True)
+            largest = names[counts.argmax()]
+            for x in range(len(doc)):
+                if label[x] == largest:
+                    continue  # its pairs with other components are met from their side
+                mine = codes[starts[x] : starts[x] + sizes[x]]
+                member[mine] = True
+                both = np.add.reduceat(member[codes], starts, dtype=np.int64)
+                member[mine] = False
+                hit = np.flatnonzero((both * 100 >= (sizes + sizes[x] - both) * percent) & (label != label[x]))
+                found, first = np.unique(label[hit], return_index=True)
+                for name, at in zip(found, hit[first], strict=True):
+                    out.append((doc[x], doc[at]))
+                    label[label == label[x]] = name
+                if (label == label[0]).all():
+                    break
+            return {"a": np.array([x for x, _ in out]), "b": np.array([y for _, y in out])} if out else None
+
+        near = by_item(in_blocks(rows, F.ceil(F.col("n") / self.block)), compare, "key long, doc long, comp long")
+        near = cut(near.distinct(), "near")
+        sets = cut(self.sets(docs, near.select("doc").distinct()), "residual-sets")
+        whole = near.join(sets, "doc").withColumn("size", F.size("shingles"))
+        total = whole.groupBy("key").agg(F.sum("size").alias("total"))
+        blocks = F.ceil(F.col("total") / self.block_shingles)
+        return by_item(in_blocks(whole.join(total, "key"), blocks), verify, "a long, b long").distinct()
 
     def linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The signed rows of ``docs``, and links (a, b) between representatives of equal sets.
@@ -248,8 +294,7 @@ class NearDuplicates:
         banded = self.banded(reps)
         stars = self.pruned(self.star_pairs(banded), reps)
         links = cut(self.verified(stars, docs, "star"), "star-links")
-        more = self.residual_pairs(banded, components(links), reps)
-        links = links.unionByName(cut(self.verified(more, docs, "residual"), "residual-links"))
+        links = links.unionByName(cut(self.residual_links(banded, components(links), reps, docs), "residual-links"))
         same = full.join(least.withColumnRenamed("doc", "rep"), "set_key").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
         return signed, links.unionByName(same)
 
