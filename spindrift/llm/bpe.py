@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import arrow_rows, blocks
 
 NONE = np.iinfo(np.int32).max
 _LOADED: dict = {}
@@ -195,14 +195,13 @@ def encoder(path: str, pattern: str, most: int) -> Encoder:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, block_bytes: int, most_words: int) -> Iterator[pa.RecordBatch]:
     """Batches of texts to the same with ``ids`` in the text's place."""
     coder = encoder(path, pattern, most_words)
-    for batch in batches:
-        for part in slices(batch, text, block_bytes):
-            coded = coder.block(part.column(text).to_pylist())
-            offsets = np.zeros(len(coded) + 1, np.int32)
-            np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)), out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
-            rest = [n for n in part.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*rest, "ids"])
+    for part in blocks(batches, text, block_bytes):
+        coded = coder.block(part.column(text).to_pylist())
+        offsets = np.zeros(len(coded) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)), out=offsets[1:])
+        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
+        rest = [n for n in part.schema.names if n != text]
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*rest, "ids"])
 
 
 def lists(column: pa.ListArray) -> list[list[int]]:
@@ -234,7 +233,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", blo
     """
     docs = docs.drop("ids")
     schema = _without(docs.schema, text).add("ids", T.ArrayType(T.IntegerType(), False))
-    return docs.mapInArrow(lambda it: encode_batches(it, path, pattern, text, block_bytes, most_words), schema)
+    return arrow_rows(docs).mapInArrow(lambda it: encode_batches(it, path, pattern, text, block_bytes, most_words), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_rows, blocks
 
 PASSAGE = 512  # bytes
 BUCKETS = 96
@@ -165,9 +165,8 @@ def classify(docs: DataFrame, model: AttentionModel, text: str = "text", thresho
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, 2_000_000):
-                scores = model.score(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*part.schema.names, "score"])
+        for part in blocks(batches, text, 2_000_000):
+            scores = model.score(part.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return arrow_rows(docs).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import arrow_rows, blocks, cut
 from .components import components
 
 #: Mixing constants of the MurmurHash3 finalizer.
@@ -152,29 +152,27 @@ class NearDuplicates:
         k, hashing, text = self.shingle, self.hashing, self.text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text, 4_000_000):
-                    sizes, keys, sigs = [], [], []
-                    for t in part.column(text).to_pylist():
-                        s = shingle_set(t, k)
-                        sizes.append(len(s))
-                        keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                        sigs.append(hashing.signature(s) if len(s) else None)
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc", "n_shingles", "set_key", "sig"])
+            for part in blocks(batches, text, 4_000_000):
+                sizes, keys, sigs = [], [], []
+                for t in part.column(text).to_pylist():
+                    s = shingle_set(t, k)
+                    sizes.append(len(s))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    sigs.append(hashing.signature(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc", "n_shingles", "set_key", "sig"])
 
-        return docs.select(F.col(self.id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n_shingles long, set_key binary, sig binary")
+        return arrow_rows(docs).select(F.col(self.id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n_shingles long, set_key binary, sig binary")
 
     def sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """doc and shingles (sorted array of long) of the documents whose ids are in ``ids``."""
         k, text = self.shingle, self.text
         wanted = F.broadcast(ids) if ids.count() <= self.most_ids else ids
-        some = docs.select(F.col(self.id).cast("long").alias("doc"), text).join(wanted, "doc", "left_semi")
+        some = arrow_rows(docs).select(F.col(self.id).cast("long").alias("doc"), text).join(wanted, "doc", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text, 4_000_000):
-                    found = [shingle_set(t, k).view(np.int64) for t in part.column(text).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
+            for part in blocks(batches, text, 4_000_000):
+                found = [shingle_set(t, k).view(np.int64) for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
         return some.mapInArrow(run, "doc long, shingles array<long>")
 

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import arrow_rows, blocks, cut, release
 
 #: White space to Python but not to the tokenizer's pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case is one letter, composed as it stands.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 LITTLE = [struct.Struct(f"<{n}I") for n in range(10)]
 _LOADED: dict = {}
 
@@ -37,6 +39,22 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Words of plain letters are one unit to the tokenizer: they are encoded many at a time and
+        cut where a token ends a word. Others, and all where that doesn't add up, are encoded singly."""
+        plain = [w for w in words if LETTERS(w)] if self.ends.any() else []
+        if plain:
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)])
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(plain):
+                raw = ids.tobytes()
+                self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+                words = [w for w in words if not LETTERS(w)]
+        self.known.update(zip(words, self.encode(words), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() if len(x) > 9 else LITTLE[len(x)].pack(*x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -46,8 +64,8 @@ class WordEncoder:
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*(w for w in split if w)).difference(self.known))
-        for i in range(0, len(new), 50_000):
-            self.known.update(zip(new[i : i + 50_000], self.encode(new[i : i + 50_000]), strict=True))
+        for i in range(0, len(new), 20_000):
+            self.learn(new[i : i + 20_000])
         known = self.known.__getitem__
         return [b"".join(map(known, w)) if w is not None else self.encode([t])[0] if t else b"" for t, w in zip(texts, split, strict=True)]
 
@@ -126,27 +144,28 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_encoder(tokenizer_path, most_words), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for part in slices(batch, text, block_bytes):
-                owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, raw in enumerate(coder.block(part.column(text).to_pylist())):
-                    raw += end
-                    n = len(raw) // 4
-                    for at in range(0, n, most):
-                        piece = raw[4 * at : 4 * (at + most)]
-                        owner.append(i)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
-                columns = [part.column(id_col).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.select(id_col, text).mapInArrow(run, schema)
+        for part in blocks(batches, text, block_bytes):
+            owner, start, length, crc, total, ids = [], [], [], [], [], []
+            for i, raw in enumerate(coder.block(part.column(text).to_pylist())):
+                raw += end
+                n = len(raw) // 4
+                for at in range(0, n, most):
+                    piece = raw[4 * at : 4 * (at + most)]
+                    owner.append(i)
+                    start.append(at)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(n)
+                    if with_ids:
+                        ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+            columns = [part.column(id_col).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        coder.known.clear()  # full long before a task ends, it is worth little to the next one
+        release()
+
+    return arrow_rows(docs).select(id_col, text).mapInArrow(run, schema)
 
 
 def ranked(pieces: DataFrame, rows_per_group: int = 50_000, least_groups: int = 64) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .chat import format_chats
 from .classifier import classify, train
-from .common import read
+from .common import arrow_rows, read
 from .minhash import NearDuplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -45,7 +45,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             decoded = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_rows(read(spark, sf_dir, "documents")).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

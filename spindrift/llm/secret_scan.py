@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import arrow_rows, blocks
 
 #: Kinds in the order in which they are listed, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "literal")
@@ -112,18 +112,17 @@ def scan_secrets(docs: DataFrame, text: str = "text", redact: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            for part in slices(batch, text, batch_bytes):
-                texts = part.column(text).to_pylist()
-                found = [find_secrets(t) for t in texts]
-                columns = {n: part.column(n) for n in part.schema.names if n != text or redact is not None}
-                if redact is not None:
-                    columns[text] = pa.array([replaced(t, spans, redact) for t, (_, spans) in zip(texts, found, strict=True)], pa.string())
-                for i, name in enumerate(("base", "spans")):
-                    columns[name] = pa.array([[(KINDS[s.kind], s.start, s.end) for s in x[i]] for x in found], kind)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return docs.mapInArrow(run, schema)
+        for part in blocks(batches, text, batch_bytes):
+            texts = part.column(text).to_pylist()
+            found = [find_secrets(t) for t in texts]
+            columns = {n: part.column(n) for n in part.schema.names if n != text or redact is not None}
+            if redact is not None:
+                columns[text] = pa.array([replaced(t, spans, redact) for t, (_, spans) in zip(texts, found, strict=True)], pa.string())
+            for i, name in enumerate(("base", "spans")):
+                columns[name] = pa.array([[(KINDS[s.kind], s.start, s.end) for s in x[i]] for x in found], kind)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return arrow_rows(docs).mapInArrow(run, schema)
 
 
 def replaced(text: str | None, spans: list[Span], by: str) -> str | None:

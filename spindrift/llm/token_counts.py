@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_rows
+
 #: Between a character that isn't white space and a single space before another such character.
 #: Byte-level splitters never join text across it, and no special token holds a space.
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -92,5 +94,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", batch
             rest = [(n, batch.column(n)) for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(counts)], names=[n for n, _ in rest] + ["n_tokens"])
 
-    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
+    sized = arrow_rows(docs).withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     return sized.mapInArrow(run, schema)
