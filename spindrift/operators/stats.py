@@ -61,7 +61,7 @@ def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int =
     flips = 2**m if m <= exact else resamples
     # a row meets every flip where it is; sums per flip are partial before they are shuffled
     met = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))))
-    bit = F.shiftright("b", F.col("i").cast("int")) if m <= exact else portable_hash(F.lit(seed), F.col("b"), F.col("i"))
+    bit = F.call_function("shiftright", F.col("b"), F.col("i").cast("int")) if m <= exact else portable_hash(F.lit(seed), F.col("b"), F.col("i"))
     sign = F.when(bit.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
     sums = met.groupBy("b").agg(F.sum(sign * F.col("v")).alias("s"))
     far = sums.crossJoin(F.broadcast(base.select("total"))).agg((F.count_if(F.abs("s") >= F.abs("total") - 1e-12) / flips).alias("p"))  # one row

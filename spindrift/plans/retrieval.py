@@ -326,8 +326,8 @@ def support_recall(spark: SparkSession, d: str) -> DataFrame:
 ARM_TOPS = FUSED + "," + GOLD + "," + SHARES + "," + ", ".join([ranked_sql("t0", "bm25", 5), ranked_sql("t1", "dense", 5), rerank_sql("t2", "pool", 5)]) + """,
 arms AS (SELECT 'R0' AS arm, query_id, item_id, rank FROM t0 UNION ALL SELECT 'R1', query_id, item_id, rank FROM t1 UNION ALL SELECT 'A1', query_id, item_id, rank FROM t2),
 names(arm) AS (VALUES ('R0'), ('R1'), ('A1')),
-per AS (SELECT arm, g.query_id, n, (length(b.text) % 3) AS kind, count(rank) AS hits, min(rank) AS first
-  FROM names, gold g JOIN golds USING (query_id) JOIN (SELECT item_id AS query_id, text FROM benchmark) b USING (query_id) LEFT JOIN arms r USING (arm, query_id, item_id) GROUP BY arm, g.query_id, n, kind)"""
+per AS (SELECT arm, query_id, n, (length(b.text) % 3) AS kind, count(rank) AS hits, min(rank) AS first
+  FROM (SELECT * FROM names, gold) g JOIN golds USING (query_id) JOIN (SELECT item_id AS query_id, text FROM benchmark) b USING (query_id) LEFT JOIN arms r USING (arm, query_id, item_id) GROUP BY arm, query_id, n, kind)"""
 MEANS = "count(*) AS n, round(avg(hits / n), 6) AS recall, round(avg((hits > 0)::DOUBLE), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg((hits = n)::DOUBLE), 6) AS coverage"
 
 

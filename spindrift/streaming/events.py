@@ -12,7 +12,12 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).parquet(path)
+    """Parquet files of a folder as they come; a path that is one file is the stream of that file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(SCHEMA)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        return reader.option("pathGlobFilter", hadoop.getName()).parquet(hadoop.getParent().toString())
+    return reader.parquet(path)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
