@@ -28,9 +28,10 @@ def _let(value: Column, body) -> Column:
 def _once(value: Column) -> Column:
     """``value``, closed to the optimizer, which might else copy it into filters and lambdas.
 
-    The draw is never negative; that it is a draw keeps the expression in its place.
+    A partition's number is never negative; that it depends on the partition keeps the expression
+    in its place, computed once for a row.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def line_fails(line: Column, n_words: Column) -> Column:
