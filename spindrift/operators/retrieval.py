@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dot
 from ..functions.text import word_tokens
+from ..sources.shared import cut
 
 POOL = 50
 #: Queries that are sent to every executor; more are dealt in blocks of this many.
@@ -41,17 +42,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """query_id, item_id, score for every document that shares a term with the query.
 
     Only the queries' terms reach the shuffle; a term counts once per query. The average length
-    includes documents without tokens.
+    includes documents without tokens. Texts are read twice: for the totals, and for the terms,
+    which bring their document's length along.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    lengths = document_lengths(docs, tokens)
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    tf = term_frequencies(docs, tokens, wanted.select("term").distinct())
+    corpus = document_lengths(docs, tokens).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    terms = docs.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    tf = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("item_id", "dl", "term").agg(F.count("*").alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", inverse_frequencies(tf, F.col("n_docs")).alias("idf"))  # one row of totals
     f = F.col("f")
     weight = F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(idf, "term").join(lengths, "item_id").select("item_id", "term", weight.alias("w"))
+    weighted = tf.join(idf, "term").select("item_id", "term", weight.alias("w"))
     return wanted.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
 
 
@@ -192,12 +194,19 @@ class Context:
     def __init__(self, docs: DataFrame, queries: DataFrame, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, tree: DataFrame | None = None, adjacency: DataFrame | None = None, pool: int = POOL, reserve: int = 1, width: int = 5, score: Callable[[Column, Column], Column] | None = None):
         self.docs, self.queries, self.item_vectors, self.query_vectors = docs, queries, item_vectors, query_vectors
         self.tree, self.adjacency, self.pool, self.reserve, self.width, self.score = tree, adjacency, pool, reserve, width, score
+        self._pool, self._picks = None, {}
 
     def hybrid_pool(self) -> DataFrame:
-        return fused_pool(bm25(self.docs, self.queries), dense(self.item_vectors, self.query_vectors), pool=self.pool)
+        """The fused pool; made once and kept in the shared folder, as several steps of an arm read it."""
+        if self._pool is None:
+            self._pool = cut(fused_pool(bm25(self.docs, self.queries), dense(self.item_vectors, self.query_vectors), pool=self.pool), "pool")
+        return self._pool
 
     def tree_picks(self, k: int) -> DataFrame:
-        return descend(self.tree, self.queries, k, self.width)
+        """The descent's picks, kept likewise."""
+        if k not in self._picks:
+            self._picks[k] = cut(descend(self.tree, self.queries, k, self.width), "picks")
+        return self._picks[k]
 
     def reranked(self, rows: DataFrame, k: int) -> DataFrame:
         return rerank(rows, self.queries, self.docs, k, self.score)

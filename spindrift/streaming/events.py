@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -41,8 +42,7 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """What a stream makes of all input there is, read back from the shared checkpoint folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    place = f"{base.rstrip('/')}/spindrift-stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/spindrift-stream-{uuid.uuid4().hex}"
     out = f"{place}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
