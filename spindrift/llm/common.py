@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, discard, shared_dir  # noqa: F401
+
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x09-\x0D\x20]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,26 +28,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a local one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/spindrift-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a re-read and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(df: DataFrame, most: int = 1024) -> DataFrame:
     """``df``, its session set to send Python at most ``most`` rows in one Arrow batch: texts are
     long, and such buffers are memory beside the heap. Operators gather batches to blocks by bytes."""

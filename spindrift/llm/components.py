@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small, "small-star")
+        old, edges = edges, cut(small, "small-star")
+        discard(old, large)
         before, state = state, _state(edges)
         if before == state:
             break

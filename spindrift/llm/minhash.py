@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, cut
+from .common import arrow_rows, blocks, cut, discard
 from .components import components
 
 #: Mixing constants of the MurmurHash3 finalizer.
@@ -197,7 +197,9 @@ class NearDuplicates:
         one, two = (sets.select(F.col("doc").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-        return joined.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b")
+        links = cut(joined.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b"), f"{name}-links")
+        discard(pairs, sets)
+        return links
 
     def banded(self, reps: DataFrame) -> DataFrame:
         """doc and key of every band whose values two documents or more share, with their number n."""
@@ -277,7 +279,9 @@ class NearDuplicates:
         whole = near.join(sets, "doc").withColumn("size", F.size("shingles"))
         total = whole.groupBy("key").agg(F.sum("size").alias("total"))
         blocks = F.ceil(F.col("total") / self.block_shingles)
-        return by_item(in_blocks(whole.join(total, "key"), blocks), verify, "a long, b long").distinct()
+        links = cut(by_item(in_blocks(whole.join(total, "key"), blocks), verify, "a long, b long").distinct(), "residual-links")
+        discard(near, sets)
+        return links
 
     def linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The signed rows of ``docs``, and links (a, b) between representatives of equal sets.
@@ -291,8 +295,9 @@ class NearDuplicates:
         reps = cut(reps.dropDuplicates(["set_key", "doc"]), "representatives")
         banded = self.banded(reps)
         stars = self.pruned(self.star_pairs(banded), reps)
-        links = cut(self.verified(stars, docs, "star"), "star-links")
-        links = links.unionByName(cut(self.residual_links(banded, components(links), reps, docs), "residual-links"))
+        links = self.verified(stars, docs, "star")
+        links = links.unionByName(self.residual_links(banded, components(links), reps, docs))
+        discard(banded, reps)
         same = full.join(least.withColumnRenamed("doc", "rep"), "set_key").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
         return signed, links.unionByName(same)
 
