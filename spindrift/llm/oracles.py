@@ -19,7 +19,7 @@ judged AS (
   SELECT r, line, n,
     length(regexp_replace(line, '[^#*$%&|<>!]+', '', 'g')) >= n
     OR (n < 4 AND NOT regexp_matches(rtrim(line, ' '), '[.!?:;…。]["''”’)\]]*$'))
-    OR (length(regexp_replace(line, '[^|»›]+', '', 'g')) >= 3 AND length(regexp_replace(line, '[^|»›]+', '', 'g')) * 2 >= n)
+    OR (length(regexp_replace(line, '[^|»›]+', '', 'g')) >= 3 AND length(regexp_replace(line, '[^|»›]+', '', 'g')) * 3 >= n)
     OR (n <= 20 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '(all rights reserved|copyright|licensed under|terms of use|terms of service|privacy policy|cookie|subscribe|sign up|click here|javascript)')) AS fails
   FROM lines WHERE n > 0),
@@ -53,4 +53,42 @@ SELECT page_id, host, path, b.rule, coalesce(b.v, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT DISTINCT host, path, rule, v FROM best) b USING (host, path)
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4, "op9_url_filter": OP9}
+OP8 = r"""
+WITH m AS (SELECT row_number() OVER () AS r, conv_id AS conv, turn, role, coalesce(text, '') AS t FROM conversations),
+cut AS (SELECT r, conv, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT *, string_split(t, chr(10)) AS ls FROM m)),
+leveled AS (
+  SELECT r, conv, turn, i, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^(?:[ \t]*>)+', '') AS body FROM cut),
+lines AS (
+  SELECT *, lead(level) OVER w AS next_level, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS opens
+  FROM leveled WINDOW w AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM lines),
+contents AS (
+  SELECT r, any_value(conv) AS conv, any_value(turn) AS turn, count(*) FILTER (level > 0) AS n_quoted, max(level) AS quote_depth,
+    regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(next_level, 0) > 0 AND
+      regexp_matches(body, '(wrote|writes|said|schrieb|écrit|escribió)[ \t]*:[ \t]*$'))), ''), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS content
+  FROM lines GROUP BY r),
+raw AS (
+  SELECT r, conv, turn, level, body AS p FROM runs
+  UNION ALL SELECT r, conv, turn, level, string_agg(body, ' ' ORDER BY i) FROM runs GROUP BY r, conv, turn, level, run),
+passages AS (
+  SELECT DISTINCT r, conv, turn, level, trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS p FROM raw),
+own AS (
+  SELECT conv, turn, p FROM passages WHERE level = 0 AND p <> ''
+  UNION ALL SELECT conv, turn, trim(regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') FROM contents WHERE content <> ''),
+firsts AS (SELECT conv, p, min(turn) AS origin FROM own GROUP BY conv, p),
+scored AS (
+  SELECT q.conv, q.turn, origin, min(level) AS level, sum(len(string_split(q.p, ' '))) AS words
+  FROM passages q JOIN firsts f ON q.conv = f.conv AND q.p = f.p AND origin < q.turn WHERE level > 0 AND q.p <> '' GROUP BY ALL),
+links AS (SELECT conv, turn, arg_max(origin, [-level, words, origin]) AS origin FROM scored GROUP BY conv, turn),
+placed AS (
+  SELECT m.r, m.conv, m.turn, m.role, origin, max(m.turn) OVER (PARTITION BY m.conv ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
+  FROM m LEFT JOIN links USING (conv, turn)),
+opened AS (
+  SELECT *, coalesce(origin, previous) AS reply_to, CASE WHEN previous IS NULL OR coalesce(origin, previous) <> previous THEN turn END AS o FROM placed)
+SELECT c.conv AS conv_id, c.turn, role, content, n_quoted, quote_depth, origin IS NOT NULL AS linked, reply_to,
+  max(o) OVER (PARTITION BY c.conv ORDER BY c.turn) AS branch
+FROM opened JOIN contents c USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op8_chat_format": OP8, "op4_quality_rules": OP4, "op9_url_filter": OP9}

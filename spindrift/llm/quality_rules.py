@@ -38,13 +38,14 @@ def line_fails(line: Column, n_words: Column) -> Column:
     """Whether a line with ``n_words`` words, one at least, is no prose.
 
     Punctuation: as many of ``#*$%&|<>!`` as words or more, or a line under four words without an
-    ending mark. Navigation: three separators or more, and one for every two words. Boilerplate: a
+    ending mark. Navigation: three separators or more, and one for every three words, where lone
+    separators are words too. Boilerplate: a
     line of at most twenty words with a fixed phrase.
     """
     separators = F.length(F.regexp_replace(line, f"[^{SEPARATORS[1:-1]}]+", ""))
     marks = F.length(F.regexp_replace(line, NOT_MARKS, ""))
     ended = F.rtrim(line).rlike(ENDS)
-    return (marks >= n_words) | ((n_words < SHORT_LINE_WORDS) & ~ended) | ((separators >= 3) & (separators * 2 >= n_words)) | ((n_words <= MOST_BOILERPLATE_WORDS) & ascii_lower(line).rlike(BOILERPLATE))
+    return (marks >= n_words) | ((n_words < SHORT_LINE_WORDS) & ~ended) | ((separators >= 3) & (separators * 3 >= n_words)) | ((n_words <= MOST_BOILERPLATE_WORDS) & ascii_lower(line).rlike(BOILERPLATE))
 
 
 def measured(text: Column) -> Column:
