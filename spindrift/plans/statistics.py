@@ -78,7 +78,7 @@ def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {OUT}, v AS (SELECT A1 - A4 AS v, id FROM o WHERE id % 40 = 0), nz AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS i FROM v WHERE v <> 0), m AS (SELECT count(*) AS m FROM nz),
 f AS (SELECT b, sum(CASE WHEN (b >> i) & 1 = 1 THEN v ELSE -v END) AS s FROM nz, (SELECT unnest(range(1 << m::INT)) AS b FROM m) GROUP BY b)
-SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) AS p FROM m""")
+SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) END AS p FROM m""")
 def permutation_exact(spark: SparkSession, d: str) -> DataFrame:
     rows = s.paired(outcomes(spark, d).where("id % 40 = 0"), "A1", "A4").select("id", (F.col("a") - F.col("b")).alias("v"))
     return s.permutation(rows).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
@@ -87,7 +87,7 @@ def permutation_exact(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {OUT}, v AS (SELECT A1 - A4 AS v, id FROM o), nz AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS i FROM v WHERE v <> 0), m AS (SELECT count(*) AS m FROM nz),
 f AS (SELECT b, sum(CASE WHEN ('0x' || substr(md5('{s.SEED}-' || b || '-' || i), 1, 8))::BIGINT & 1 = 1 THEN v ELSE -v END) AS s FROM nz, (SELECT unnest(range({B})) AS b) GROUP BY b)
-SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) AS p FROM m""")
+SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) END AS p FROM m""")
 def permutation_mc(spark: SparkSession, d: str) -> DataFrame:
     rows = s.paired(outcomes(spark, d), "A1", "A4").select("id", (F.col("a") - F.col("b")).alias("v"))
     return s.permutation(rows, B).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
