@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in
     MapReduce and Beyond" (2014), until nothing changes. Each round is written to the shared folder.
     Least neighbours are sums over keys with a partial step, and joins bring one row per node to
-    the links, so a node with very many links is split like any skewed join key. Links with a
+    the links; they are written before, as a join straight above an aggregation on its key can't be
+    split, and so a node with very many links is split like any skewed join key. Links with a
     null end are left out; a link of a node to itself makes it a component of its own.
     """
     both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
@@ -23,13 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         ends = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = ends.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("m"))
+        least = cut(ends.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("v"), F.least("x", "m").alias("m")), "least")
         large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
-        large = cut(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, used = cut(large, "large-star"), least
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         old, edges = edges, cut(small, "small-star")
-        discard(old, large)
+        discard(old, large, used, least)
         before, state = state, _state(edges)
         if before == state:
             break

@@ -135,6 +135,9 @@ def by_item(rows: DataFrame, work: Callable[[pa.Table], dict | None], schema: st
 class NearDuplicates:
     """Near-duplicate links between documents by Jaccard similarity of word shingles.
 
+    Sums over a key are written before they are joined back to the key's rows: a join straight above
+    an aggregation on its key can't be split, and one bucket or set may hold a third of all rows.
+
     ``bands`` bands of ``rows`` values find candidates: a pair of similarity ``s`` is missed with
     chance ``(1 - s**rows)**bands``, 1.3e-7 at 0.8 as set here. ``miss`` is the chance at which a
     comparison of signatures may prune a pair of ``similarity``; survivors are verified on sets.
@@ -206,7 +209,7 @@ class NearDuplicates:
         width = 4 * self.rows
         keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(self.bands)])
         rows = reps.select("doc", F.explode(keys).alias("key"))
-        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
         return cut(rows.join(shared, "key").select("key", "doc", "n"), "bands")
 
     def star_pairs(self, banded: DataFrame) -> DataFrame:
@@ -217,7 +220,7 @@ class NearDuplicates:
         """
         degree = banded.groupBy("doc").agg(F.sum(F.log2("n")).alias("degree"))
         rated = banded.join(degree, "doc").select("key", "doc", "degree")
-        leaders = rated.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("l")).select("key", (-F.col("l.doc")).alias("leader"))
+        leaders = cut(rated.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("l")).select("key", (-F.col("l.doc")).alias("leader")), "leaders")
         pairs = rated.join(leaders, "key").where("doc <> leader")
         return pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
@@ -230,7 +233,7 @@ class NearDuplicates:
         pairs it tests: of the links found, an item returns a spanning forest of its components.
         """
         rows = banded.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        mixed = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
         rows = rows.join(mixed, "key").join(sigs.select("doc", "sig"), "doc")
         steps, least, percent = self.steps, self.least, self.percent
 
@@ -290,7 +293,7 @@ class NearDuplicates:
         """
         signed = cut(self.signed(docs), "signed")
         full = signed.where("set_key is not null and doc is not null")
-        least = full.groupBy("set_key").agg(F.min("doc").alias("doc"))
+        least = cut(full.groupBy("set_key").agg(F.min("doc").alias("doc")), "least")
         reps = full.join(least, ["set_key", "doc"], "left_semi").select("doc", "set_key", "sig")
         reps = cut(reps.dropDuplicates(["set_key", "doc"]), "representatives")
         banded = self.banded(reps)
