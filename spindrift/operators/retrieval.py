@@ -22,9 +22,15 @@ def top_k(scored: DataFrame, k: int, score: str = "score", digits: int = 6) -> D
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def exploded(tokenized: DataFrame, *keep: str | Column) -> DataFrame:
+    """A row per token of a column ``t``. An outer explode: for an inner one the optimizer adds a filter
+    on the tokens' number, which splits every text a second time."""
+    return tokenized.select(*keep, F.explode_outer("t").alias("term")).where("term is not null")
+
+
 def term_frequencies(docs: DataFrame, tokens: Callable[[Column], Column] = word_tokens, only: DataFrame | None = None) -> DataFrame:
     """item_id, term, f. With ``only`` (a column ``term``), other terms are dropped before they are shuffled."""
-    terms = docs.select("item_id", F.explode(tokens(F.col("text"))).alias("term"))
+    terms = exploded(docs.select("item_id", tokens(F.col("text")).alias("t")), "item_id")
     terms = terms.join(only, "term", "left_semi") if only is not None else terms
     return terms.groupBy("item_id", "term").agg(F.count("*").alias("f"))
 
@@ -47,9 +53,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     corpus = document_lengths(docs, tokens).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    terms = docs.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    terms = exploded(docs.select("item_id", tokens(F.col("text")).alias("t")), "item_id", F.size("t").alias("dl"))
     tf = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("item_id", "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # counted over f, so that this reads the same columns as the join below and shares its shuffle
+    df = tf.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("df"))
     idf = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", inverse_frequencies(tf, F.col("n_docs")).alias("idf"))  # one row of totals
     f = F.col("f")
     weight = F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -154,24 +161,27 @@ def select_options(options: DataFrame, most: int) -> DataFrame:
     return ranked.where((F.col("choice") <= most) & ((F.col("overlap") > 0) | (F.col("choice") == 1)))
 
 
-def descend(tree: DataFrame, queries: DataFrame, k: int, width: int = 5, depth: int = 4, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+def descend(tree: DataFrame, queries: DataFrame, k: int, width: int = 5, depth: int = 5, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """Beam descent: from the root, every beam node gives its leaves as candidates and at most ``width``
     of its containers to the next beam; then the best k candidates.
 
     ``tree`` has node, parent (null for the root), pos (among siblings), is_leaf, display and item_id.
-    Levels are joins on the parent, ``depth`` of them; nothing is collected.
+    Levels are joins on the parent, ``depth`` of them; nothing is collected. A level's beam, a few
+    nodes per query, is kept in the shared folder for the two steps that start from it.
     """
     q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
     children = tree.where("parent is not null").select("node", "parent", "pos", "is_leaf", "item_id", tokens(F.col("display")).alias("t"))
     root = tree.where("parent is null").select(F.col("node"))
     beam, found = q.select("query_id").crossJoin(F.broadcast(root)).select("query_id", "node", F.array(F.lit(0)).alias("path")), None
-    for _ in range(depth):
+    for level in range(depth):
         here = beam.select("query_id", F.col("node").alias("parent"), "path").join(children, "parent").join(q, "query_id")
         here = here.select("query_id", F.col("parent"), "node", "pos", "is_leaf", "item_id", "path", overlap_score(F.col("q"), F.col("t")).alias("overlap"))
         leaves = here.where("is_leaf").select("query_id", "item_id", "path", "pos", "overlap")
         found = leaves if found is None else found.unionByName(leaves)
+        if level == depth - 1:
+            break
         chosen = select_options(here.where("not is_leaf").withColumnRenamed("node", "child").withColumnRenamed("parent", "node"), width)
-        beam = chosen.select("query_id", F.col("child").alias("node"), F.concat("path", F.array(-F.col("overlap"), -F.col("pos"))).alias("path")).dropDuplicates(["query_id", "node"])
+        beam = cut(chosen.select("query_id", F.col("child").alias("node"), F.concat("path", F.array(-F.col("overlap"), -F.col("pos"))).alias("path")).dropDuplicates(["query_id", "node"]), "beam")
     # candidates stand in the order of the descent: by depth, then by the beam's order, then among siblings
     place = Window.partitionBy("query_id").orderBy(F.size("path"), "path", "pos")
     options = found.withColumn("pos", F.row_number().over(place)).withColumn("node", F.lit(0))
@@ -191,7 +201,8 @@ def arm_id(name: str) -> str:
 class Context:
     """What arms are made of: docs (item_id, text), queries (query_id, text), vectors, a tree and an adjacency."""
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, tree: DataFrame | None = None, adjacency: DataFrame | None = None, pool: int = POOL, reserve: int = 1, width: int = 5, score: Callable[[Column, Column], Column] | None = None):
+    def __init__(self, docs: DataFrame, queries: DataFrame, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, tree: DataFrame | None = None, adjacency: DataFrame | None = None, pool: int = POOL, reserve: int = 1, width: int = 5, depth: int = 5, score: Callable[[Column, Column], Column] | None = None):
+        self.depth = depth
         self.docs, self.queries, self.item_vectors, self.query_vectors = docs, queries, item_vectors, query_vectors
         self.tree, self.adjacency, self.pool, self.reserve, self.width, self.score = tree, adjacency, pool, reserve, width, score
         self._pool, self._picks = None, {}
@@ -205,7 +216,7 @@ class Context:
     def tree_picks(self, k: int) -> DataFrame:
         """The descent's picks, kept likewise."""
         if k not in self._picks:
-            self._picks[k] = cut(descend(self.tree, self.queries, k, self.width), "picks")
+            self._picks[k] = cut(descend(self.tree, self.queries, k, self.width, self.depth), "picks")
         return self._picks[k]
 
     def reranked(self, rows: DataFrame, k: int) -> DataFrame:
@@ -228,8 +239,8 @@ def build_arm(name: str, ctx: Context, k: int = 5) -> DataFrame:
     if arm == "A4":
         return ctx.reranked(expand(ctx.tree_picks(ctx.pool), ctx.adjacency), k)
     if arm in ("A5", "A4B"):
-        seed = additive(ctx.hybrid_pool(), ctx.tree_picks(ctx.pool))
-        primary = ctx.reranked(seed, 2 * ctx.pool)
+        seed = cut(additive(ctx.hybrid_pool(), ctx.tree_picks(ctx.pool)), "seed")
+        primary = cut(ctx.reranked(seed, 2 * ctx.pool), "primary")
         if arm == "A5":
             return primary.where(F.col("rank") <= k)
         new = expand(seed, ctx.adjacency).join(seed.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")

@@ -136,7 +136,7 @@ def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
 
 def context(spark: SparkSession, d: str) -> r.Context:
     docs, (items, asked) = corpus(spark, d), vectors(spark, d)
-    return r.Context(docs, questions(spark, d), items, asked, doc_tree(spark, d), doc_graph(spark, d))
+    return r.Context(docs, questions(spark, d), items, asked, doc_tree(spark, d), doc_graph(spark, d), depth=3)
 
 
 @query(out(FUSED, "pool"))
