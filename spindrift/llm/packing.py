@@ -136,7 +136,7 @@ class Slots:
 PIECE = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType())]
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int, id_col: str, text: str, with_ids: bool, block_bytes: int = 4_000_000, most_words: int = 1_000_000) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int, id_col: str, text: str, with_ids: bool, block_bytes: int = 2_000_000, most_words: int = 800_000) -> DataFrame:
     """One row per piece of a tokenized document: full pieces of ``most`` ids, then the rest."""
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in PIECE)])
     if with_ids:
