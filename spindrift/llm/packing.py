@@ -18,8 +18,8 @@ from .common import arrow_rows, blocks, cut, release
 
 #: White space to Python but not to the tokenizer's pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Letters whose lower case is one letter, composed as it stands.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Letters whose lower case is one letter, composed as it stands, and marks that may follow them.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]*").fullmatch
 LITTLE = [struct.Struct(f"<{n}I") for n in range(10)]
 _LOADED: dict = {}
 
@@ -44,16 +44,23 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, words: list[str]) -> None:
-        """Words of plain letters are one unit to the tokenizer: they are encoded many at a time and
-        cut where a token ends a word. Others, and all where that doesn't add up, are encoded singly."""
-        plain = [w for w in words if LETTERS(w)] if self.ends.any() else []
+        """Letters are one unit to the tokenizer, marks after them another. Words of such units are
+        encoded many at a time and cut where their last unit ends; others, and all where that doesn't
+        add up, are encoded singly."""
+        plain, units, rest = [], [], []
+        for w in words if self.ends.any() else ():
+            if m := PLAIN(w):
+                plain.append(w)
+                units.append(1 if m.end(1) == len(w) else 2)
+            else:
+                rest.append(w)
         if plain:
             ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)])
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(ends) == len(plain):
-                raw = ids.tobytes()
-                self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-                words = [w for w in words if not LETTERS(w)]
+            ends, last = (np.flatnonzero(self.ends[ids]) + 1) * 4, np.cumsum(units)
+            if len(ends) == last[-1]:
+                raw, at = ids.tobytes(), ends[last - 1].tolist()
+                self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                words = rest
         self.known.update(zip(words, self.encode(words), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
