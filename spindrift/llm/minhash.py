@@ -280,10 +280,10 @@ class NearDuplicates:
         near = cut(near.distinct(), "near")
         sets = cut(self.sets(docs, near.select("doc").distinct()), "residual-sets")
         whole = near.join(sets, "doc").withColumn("size", F.size("shingles"))
-        total = cut(whole.groupBy("key").agg(F.sum("size").alias("total")), "totals")
+        total = whole.groupBy("key").agg(F.sum("size").alias("total"))
         blocks = F.ceil(F.col("total") / self.block_shingles)
         links = cut(by_item(in_blocks(whole.join(total, "key"), blocks), verify, "a long, b long").distinct(), "residual-links")
-        discard(near, sets, total)
+        discard(near, sets)
         return links
 
     def linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
