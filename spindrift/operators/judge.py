@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranking as m
 from ..functions.text import NO_CONTEXT, REFUSALS, contains_any, portable_hash
 
 
@@ -32,6 +33,19 @@ def is_refusal(answer: Column, cues: list[str] | None = None) -> Column:
     return contains_any(answer, REFUSALS if cues is None else cues)
 
 
+def citation_flags(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """key, cited, hard, soft and their rates of rows (key, cited, retrieved), each key in one row.
+
+    ``known`` holds the ids (``id``) of the whole corpus, in any number: cited ids are rows that
+    are joined to them, and gathered again by key.
+    """
+    cites = rows.select(key, F.explode("cited").alias("id"))
+    there = cites.join(known.select("id").distinct(), "id").groupBy(key).agg(F.collect_list("id").alias("__k"))
+    judged = rows.join(there, key, "left")
+    h = m.hallucination(F.col("cited"), F.coalesce("__k", F.array().cast("array<string>")), F.col("retrieved"))
+    return judged.select(key, h.alias("h")).select(key, "h.*")
+
+
 def confusion(rows: DataFrame, should: Column, did: Column, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn with precision, recall and f1; each is null where it is undefined, f1 also without hits."""
     n = lambda c, name: F.count_if(c).alias(name)

@@ -107,6 +107,20 @@ def test_refusals(spark):
     assert (r.precision, r.recall, r.f1) == (None, None, None)
 
 
+def test_citations_are_judged_against_every_id(spark):
+    rows = spark.createDataFrame([(1, ["5", "250", "999"], ["5"]), (2, [], ["1"]), (3, ["777"], ["777"])], "doc_id int, cited array<string>, retrieved array<string>")
+    got = {r.doc_id: (sorted(r.hard), sorted(r.soft), r.hard_rate) for r in judge.citation_flags(rows, spark.range(800).select(F.col("id").cast("string").alias("id")), "doc_id").collect()}
+    assert got == {1: (["999"], ["250"], pytest.approx(1 / 3)), 2: ([], [], 0.0), 3: ([], [], 0.0)}
+
+
+def test_flags_of_documents_beyond_the_first_hundred(spark, tmp_path):
+    from spindrift.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "see 150 and 404"), (150, "see 1"), (250, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_cited, r.n_hard, r.n_soft) for r in QUERIES["hallucination_flags_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1, 1), 150: (1, 0, 0), 250: (0, 0, 0)}
+
+
 def test_half_even_sampling(spark):
     assert judge.audit_sample(spark.range(25).withColumn("g", F.lit(1)), "id", ["g"], 0.1).count() == 2
     assert judge.audit_sample(spark.range(2).withColumn("g", F.lit(1)), "id", ["g"], 0.1).count() == 1
