@@ -68,6 +68,18 @@ def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int =
     return base.crossJoin(far).select("n", "m", "mean", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("p")).alias("p"))
 
 
+def sign_flips(differences: DataFrame) -> DataFrame:
+    """As ``permutation``, over all 2^m flips for any m, of differences that are null, 0, 1 or -1.
+
+    The flipped sum is 2 K - m with K ~ Binomial(m, 1/2), so nothing is enumerated. Other
+    differences raise an error.
+    """
+    v = F.col("v")
+    odd = F.when(~v.isin(0.0, 1.0, -1.0), F.raise_error(F.lit("a difference is not 0, 1 or -1"))).otherwise(v)
+    base = differences.select(odd.cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(v != 0).alias("m"), F.count_if(v > 0).alias("up"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"))
+    return base.select("n", "m", "mean", binomial_two_sided(F.col("up"), F.col("m")).alias("p"))
+
+
 def holm(tests: DataFrame, alpha: float = 0.05, p: str = "p", name: str = "name") -> DataFrame:
     """Step-down adjusted p values and rejections over one family of tests; ties keep the order of names."""
     order = Window.orderBy(p, name)

@@ -81,7 +81,16 @@ f AS (SELECT b, sum(CASE WHEN (b >> i) & 1 = 1 THEN v ELSE -v END) AS s FROM nz,
 SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) END AS p FROM m""")
 def permutation_exact(spark: SparkSession, d: str) -> DataFrame:
     rows = s.paired(outcomes(spark, d).where("id % 40 = 0"), "A1", "A4").select("id", (F.col("a") - F.col("b")).alias("v"))
-    return s.permutation(rows).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
+    return s.sign_flips(rows).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
+
+
+@query(f"""
+WITH {OUT}, v AS (SELECT A1 - A4 AS v FROM o WHERE A1 IS NOT NULL AND A4 IS NOT NULL), c AS (SELECT count(*) AS n, count(*) FILTER (v <> 0) AS m, count(*) FILTER (v > 0) AS up, avg(v) AS mean FROM v),
+t AS (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) AS t FROM (SELECT m, unnest(range(least(up, m - up) + 1)) AS i FROM c))
+SELECT n, m, round(mean, 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round(least(1, 2 * t), 6) END AS p FROM c, t""")
+def permutation_exact_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = s.paired(outcomes(spark, d), "A1", "A4").where("a is not null and b is not null").select("id", (F.col("a") - F.col("b")).alias("v"))
+    return s.sign_flips(rows).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
 
 
 @query(f"""

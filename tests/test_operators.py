@@ -148,6 +148,30 @@ def test_mcnemar_and_permutation(spark):
     assert spark.range(1).select(stats.binomial_two_sided(F.lit(0).cast("long"), F.lit(0).cast("long"))).first()[0] == 1.0
 
 
+@pytest.mark.parametrize("up, down, same", [(12, 4, 3), (7, 7, 0), (0, 16, 1), (9, 6, 0), (0, 0, 4), (0, 0, 0)])
+def test_sign_flips_equal_enumeration(spark, up, down, same):
+    v = [1.0] * up + [-1.0] * down + [0.0] * same
+    flips = 2 * ((np.arange(2 ** (m := up + down))[:, None] >> np.arange(m)) & 1) - 1
+    r = stats.sign_flips(spark.createDataFrame(list(enumerate(v)), "id int, v double")).first()
+    assert (r.n, r.m, r.mean) == (len(v), m, pytest.approx(sum(v) / max(1, len(v))))
+    assert r.p == pytest.approx(np.mean(np.abs(flips.sum(axis=1)) >= abs(up - down)), abs=1e-12)
+
+
+def test_sign_flips_of_other_differences(spark):
+    with pytest.raises(Exception, match="not 0, 1 or -1"):
+        stats.sign_flips(spark.createDataFrame([(1, 0.5)], "id int, v double")).collect()
+
+
+def test_all_flips_of_more_pairs_than_are_enumerated(spark, tmp_path):
+    from spindrift.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, int(i < 560), 0) for i in range(0, 800, 40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, "en" if i >= 560 else "de") for i in range(0, 800, 40)], "doc_id long, n_chars int, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = (20, 20, 0.4, round(2 * sum(math.comb(20, i) for i in range(7)) / 2**20, 6))
+    assert tuple(QUERIES["permutation_exact"](spark, str(tmp_path)).first()) == want
+    assert tuple(QUERIES["permutation_exact_all"](spark, str(tmp_path)).first()) == want
+
+
 def test_bootstrap(spark):
     v = [1, 0, 1, 0, 0, 1, 0, 0]
     r = stats.bootstrap(spark.createDataFrame(list(zip(range(8), map(float, v), strict=True)), "id int, v double"), 400).first()
