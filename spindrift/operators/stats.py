@@ -112,25 +112,27 @@ def contrasts(outcomes: DataFrame, pairs: list[tuple[str, str, str]], alpha: flo
     return holm(size.join(mcnemar(rows, by=["name"]), "name"), alpha)
 
 
-def fit_mixed_logistic(y: np.ndarray, x: np.ndarray, item: np.ndarray, prior: float = 2.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_mixed_logistic(y: np.ndarray, x: np.ndarray, item: np.ndarray, prior: float = 2.0, rounds: int = 60, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Fixed effects and the items' standard deviation: Newton steps on the joint posterior mode.
 
     Fixed effects have a normal prior of deviation ``prior``, item effects one of deviation sigma;
-    sigma is re-estimated from the effects and their curvature.
+    sigma is re-estimated from the effects and their curvature. An item counts as ``times`` items
+    with the same rows, whose effects are equal (1 without it).
     """
     n_items, p = int(item.max()) + 1, x.shape[1]
+    times = np.ones(n_items) if times is None else times.astype(float)
     beta, u, sigma = np.zeros(p), np.zeros(n_items), 1.0
     for _ in range(rounds):
         mu = 1 / (1 + np.exp(-(x @ beta + u[item])))
         w = np.maximum(mu * (1 - mu), 1e-9)
         d = np.bincount(item, w, n_items) + 1 / sigma**2
         c = np.stack([np.bincount(item, w * x[:, j], n_items) for j in range(p)], axis=1)
-        gb = x.T @ (y - mu) - beta / prior**2
+        gb = x.T @ (times[item] * (y - mu)) - beta / prior**2
         gu = np.bincount(item, y - mu, n_items) - u / sigma**2
-        h = (x * w[:, None]).T @ x + np.eye(p) / prior**2 - (c / d[:, None]).T @ c
-        step = np.linalg.solve(h, gb - c.T @ (gu / d))
+        h = (x * (times[item] * w)[:, None]).T @ x + np.eye(p) / prior**2 - (c * (times / d)[:, None]).T @ c
+        step = np.linalg.solve(h, gb - c.T @ (times * gu / d))
         beta, u = beta + step, u + (gu - c @ step) / d
-        sigma = float(np.sqrt(max(1e-4, np.mean(u**2 + 1 / d))))
+        sigma = float(np.sqrt(max(1e-4, np.average(u**2 + 1 / d, weights=times))))
         if np.abs(step).max() < 1e-9:
             break
     return beta, sigma
@@ -140,17 +142,15 @@ def mixed_effects(wide: DataFrame, arms: tuple[str, str, str, str]) -> DataFrame
     """Terms of a 2x2 logistic model with item effects: base, extension and their interaction.
 
     ``arms`` are (neither, extension, base, both). The fit is one task: identical items are pooled
-    beforehand, so what it reads is bounded by the 16 outcome patterns. Their numbers of items are
-    kept in proportion, at most 2,000 items in all.
+    beforehand, so what it reads is bounded by the 16 outcome patterns. Each weighs as many items
+    as it has.
     """
     cells = wide.groupBy(*[F.col(a).cast("int").alias(f"y{i}") for i, a in enumerate(arms)]).agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy()
-        times = n if n.sum() <= 2000 else np.maximum(1, np.rint(n * 2000 / n.sum())).astype(int)
-        y = np.repeat(pdf[[f"y{i}" for i in range(4)]].to_numpy(), times, axis=0)
+        y = pdf[[f"y{i}" for i in range(4)]].to_numpy()
         design = np.array([[1, 0, 0, 0], [1, 0, 1, 0], [1, 1, 0, 0], [1, 1, 1, 1]], float)
-        beta, sigma = fit_mixed_logistic(y.ravel().astype(float), np.tile(design, (len(y), 1)), np.repeat(np.arange(len(y)), 4))
+        beta, sigma = fit_mixed_logistic(y.ravel().astype(float), np.tile(design, (len(y), 1)), np.repeat(np.arange(len(y)), 4), times=pdf["n"].to_numpy())
         return pd.DataFrame({"term": ["intercept", "base", "extension", "interaction", "item_sd"], "estimate": [*beta, sigma]})
 
     return cells.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: fit(pdf.sort_values([f"y{i}" for i in range(4)])), "term string, estimate double")

@@ -203,6 +203,16 @@ def test_mixed_logistic_recovers_signs():
     assert beta[0] < -0.5 and 1 < beta[1] < 2 and 0 < beta[2] < 1 and abs(beta[3]) < 0.6 and 0.3 < sigma < 1.5
 
 
+def test_pooled_fit_equals_the_fit_of_every_item(spark):
+    patterns = [(0, 0, 0, 0), (0, 1, 0, 1), (0, 0, 1, 1), (1, 1, 1, 1), (1, 0, 0, 1), (0, 1, 1, 0)]
+    y = np.repeat(np.array(patterns, float), [2600, 900, 1400, 700, 1, 3], axis=0)
+    arms = ("A1", "A2", "A3", "A4")
+    got = {r.term: r.estimate for r in stats.mixed_effects(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(y)], ["id", *arms]), arms).collect()}
+    design = np.array([[1, 0, 0, 0], [1, 0, 1, 0], [1, 1, 0, 0], [1, 1, 1, 1]], float)
+    beta, sigma = stats.fit_mixed_logistic(y.ravel(), np.tile(design, (len(y), 1)), np.repeat(np.arange(len(y)), 4))
+    assert [got[t] for t in ("intercept", "base", "extension", "interaction", "item_sd")] == pytest.approx([*beta, sigma], abs=1e-6)
+
+
 def test_round_robin_exhausts_small_strata(spark):
     rows = spark.createDataFrame([(i, "big" if i else "small") for i in range(10)], "id int, g string")
     got = evalset.stratified(rows, "id", "g", 5).collect()
