@@ -36,32 +36,47 @@ def outcome_pivot(spark: SparkSession, d: str) -> DataFrame:
     return s.four_way(outcomes(spark, d), ARMS)
 
 
-def boot_sql(value: str) -> str:
+def boot_sql(value: str, times: int = B) -> str:
     return f"""
 WITH {OUT}, v AS (SELECT id, {value} AS v, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM o),
-draws AS (SELECT b, ('0x' || substr(md5('{s.SEED}-' || b || '-' || i), 1, 8))::BIGINT % n AS i FROM v, (SELECT unnest(range({B})) AS b)),
+draws AS (SELECT b, ('0x' || substr(md5('{s.SEED}-' || b || '-' || i), 1, 8))::BIGINT % n AS i FROM v, (SELECT unnest(range({times})) AS b)),
 means AS (SELECT b, avg(v) AS m FROM draws JOIN v USING (i) GROUP BY b),
 places AS (SELECT m, row_number() OVER (ORDER BY round(m, 9), b) - 1 AS r FROM means)
-SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) AS mean, round(max(m) FILTER (r = {int(0.025 * B)}), 6) AS lo, round(max(m) FILTER (r = {int(0.975 * B)}), 6) AS hi FROM places"""
+SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) AS mean, round(max(m) FILTER (r = {int(0.025 * times)}), 6) AS lo, round(max(m) FILTER (r = {int(0.975 * times)}), 6) AS hi FROM places"""
 
 
-def boot(df: DataFrame) -> DataFrame:
-    return s.bootstrap(df, B).withColumns({c: F.round(c, 6) for c in ("mean", "lo", "hi")})
+def boot(df: DataFrame, times: int = B) -> DataFrame:
+    return s.bootstrap(df, times).withColumns({c: F.round(c, 6) for c in ("mean", "lo", "hi")})
 
 
 @query(boot_sql("A1"))
-def bootstrap_mean_ci(spark: SparkSession, d: str) -> DataFrame:
-    return boot(wide(spark, d).select("id", F.col("A1").alias("v")))
+def bootstrap_mean_ci(spark: SparkSession, d: str, times: int = B) -> DataFrame:
+    return boot(wide(spark, d).select("id", F.col("A1").alias("v")), times)
 
 
 @query(boot_sql("A1 - A3"))
-def bootstrap_delta_ci(spark: SparkSession, d: str) -> DataFrame:
-    return boot(s.paired(outcomes(spark, d), "A1", "A3").select("id", (F.col("a") - F.col("b")).alias("v")))
+def bootstrap_delta_ci(spark: SparkSession, d: str, times: int = B) -> DataFrame:
+    return boot(s.paired(outcomes(spark, d), "A1", "A3").select("id", (F.col("a") - F.col("b")).alias("v")), times)
 
 
 @query(boot_sql("(A4 - A3) - (A2 - A1)"))
-def bootstrap_did_ci(spark: SparkSession, d: str) -> DataFrame:
-    return boot(s.four_way(outcomes(spark, d), ARMS).select("id", ((F.col("A4") - F.col("A3")) - (F.col("A2") - F.col("A1"))).alias("v")))
+def bootstrap_did_ci(spark: SparkSession, d: str, times: int = B) -> DataFrame:
+    return boot(s.four_way(outcomes(spark, d), ARMS).select("id", ((F.col("A4") - F.col("A3")) - (F.col("A2") - F.col("A1"))).alias("v")), times)
+
+
+@query(boot_sql("A1", s.RESAMPLES))
+def bootstrap_mean_ci_10k(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap_mean_ci(spark, d, s.RESAMPLES)
+
+
+@query(boot_sql("A1 - A3", s.RESAMPLES))
+def bootstrap_delta_ci_10k(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap_delta_ci(spark, d, s.RESAMPLES)
+
+
+@query(boot_sql("(A4 - A3) - (A2 - A1)", s.RESAMPLES))
+def bootstrap_did_ci_10k(spark: SparkSession, d: str) -> DataFrame:
+    return bootstrap_did_ci(spark, d, s.RESAMPLES)
 
 
 MCNEMAR = """
@@ -93,13 +108,22 @@ def permutation_exact_all(spark: SparkSession, d: str) -> DataFrame:
     return s.sign_flips(rows).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
 
 
-@query(f"""
+def flips_sql(times: int) -> str:
+    return f"""
 WITH {OUT}, v AS (SELECT A1 - A4 AS v, id FROM o), nz AS (SELECT v, row_number() OVER (ORDER BY id) - 1 AS i FROM v WHERE v <> 0), m AS (SELECT count(*) AS m FROM nz),
-f AS (SELECT b, sum(CASE WHEN ('0x' || substr(md5('{s.SEED}-' || b || '-' || i), 1, 8))::BIGINT & 1 = 1 THEN v ELSE -v END) AS s FROM nz, (SELECT unnest(range({B})) AS b) GROUP BY b)
-SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) END AS p FROM m""")
-def permutation_mc(spark: SparkSession, d: str) -> DataFrame:
+f AS (SELECT b, sum(CASE WHEN ('0x' || substr(md5('{s.SEED}-' || b || '-' || i), 1, 8))::BIGINT & 1 = 1 THEN v ELSE -v END) AS s FROM nz, (SELECT unnest(range({times})) AS b) GROUP BY b)
+SELECT (SELECT count(*) FROM v) AS n, m, round((SELECT avg(v) FROM v), 6) AS mean, CASE WHEN m = 0 THEN 1 ELSE round((SELECT count(*) FILTER (abs(s) >= abs((SELECT sum(v) FROM v)) - 1e-12) / count(*) FROM f), 6) END AS p FROM m"""
+
+
+@query(flips_sql(B))
+def permutation_mc(spark: SparkSession, d: str, times: int = B) -> DataFrame:
     rows = s.paired(outcomes(spark, d), "A1", "A4").select("id", (F.col("a") - F.col("b")).alias("v"))
-    return s.permutation(rows, B).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
+    return s.permutation(rows, times).withColumns({c: F.round(c, 6) for c in ("mean", "p")})
+
+
+@query(flips_sql(s.RESAMPLES))
+def permutation_mc_10k(spark: SparkSession, d: str) -> DataFrame:
+    return permutation_mc(spark, d, s.RESAMPLES)
 
 
 @query("""

@@ -178,6 +178,17 @@ def test_bootstrap(spark):
     assert r.mean == 0.375 and 0 <= r.lo <= r.mean <= r.hi <= 1 and r.lo < r.hi
 
 
+@pytest.mark.parametrize("name", ["bootstrap_mean_ci", "bootstrap_delta_ci", "bootstrap_did_ci", "permutation_mc"])
+def test_all_resamples_are_drawn(spark, monkeypatch, name):
+    from spindrift.plans import statistics
+
+    asked = []
+    monkeypatch.setattr(stats, "bootstrap", lambda df, times: asked.append(times) or spark.createDataFrame([(0.0, 0.0, 0.0)], "mean double, lo double, hi double"))
+    monkeypatch.setattr(stats, "permutation", lambda df, times: asked.append(times) or spark.createDataFrame([(0.0, 0.0)], "mean double, p double"))
+    getattr(statistics, f"{name}_10k")(spark, "/root/testdata/sf0.001")
+    assert asked == [10_000]
+
+
 def test_holm_literal(spark):
     got = {r.name: (round(r.p_adj, 6), r.reject) for r in stats.holm(spark.createDataFrame([("x", 0.01), ("y", 0.04), ("z", 0.2)], "name string, p double")).collect()}
     assert got == {"x": (0.03, True), "y": (0.08, False), "z": (0.2, False)}
