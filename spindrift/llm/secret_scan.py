@@ -21,11 +21,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run is taken whole, so this is AK
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
 
-#: A name, an assigning sign and a quoted or bare value, in source code, JSON, YAML, INI or shell.
-STATEMENT = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+"""
-    r"""(?:"(?P<double>[^"\n]*)"|'(?P<single>[^'\n]*)'|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
-)
+#: A name, with a closing quote or subscripts after it, and an assigning sign, in source code, JSON, YAML, INI or shell.
+TARGET = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:["'`]?\]|["'`]|(?P<places>(?:\[[^\[\]\n]*+\])++))?[ \t]*+(?P<sign>:=|=>|[:=])[ \t]*+""")
+#: A type between ``:`` and ``=``; ``=`` has a space beside it or a quote after it, else it is part of a bare value.
+TYPE = re.compile(r"""(?:[A-Za-z_][\w.]*+(?:\[(?:[^\[\]\n]|\[[^\[\]\n]*+\])*+\]|<(?:[^<>\n]|<[^<>\n]*+>)*+>)*+[?!]?(?:[ \t]*+\|[ \t]*+)?)++(?:[ \t]++=[ \t]*+|=(?=[ \t"'`])[ \t]*+)(?!=)""")
+QUOTED = re.compile(r"""(?:[A-Za-z]{1,2}(?=["'`]))?(?:\"{3}(?P<triple>(?s:.*?))\"{3}|'{3}(?P<three>(?s:.*?))'{3}|"(?P<double>[^"\n]*+)"|'(?P<single>[^'\n]*+)'|`(?P<back>[^`]*+)`)""")
+#: A name that is called or subscripted is a value without what it is called with.
+CALLED = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?=[(\[](?:[)\]"'`\s]|[A-Za-z0-9_.]*+(?:[,)\].(=\s]|$)))""")
+#: Up to white space, the end, or a sign before which another name is assigned to; brackets first only around plain text.
+BARE = re.compile(r"""(?:[^\s"'`,;=:#&?()\[\]{}<>]|[({\[<](?=[^\s"'`=:]*+(?!\S))|[#&?](?=\S))(?:[^\s&,;?(){}\[\]"'`]|[&,;?(){}\[\]"'`]++(?!["'`]*+[A-Za-z_][A-Za-z0-9_.-]*+["'`]?\]?[:=]))*+""")
+OPENED = re.compile(r"\(\s*+(?=[A-Za-z]{0,2}[\"'`])")
+IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+(?=[,;)\]}]*+$)")
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+(?![ \t]*+[:=(\[])")
+MOST_PIECES = 1000
+CONCATENATED = re.compile(r"[ \t]*+(?:(?:\+|\.\.?|&|\\)[ \t]*+(?:\r?\n[ \t]*+)?|(?:\r?\n[ \t]*+)\+[ \t]*+|(?=[\"'`]))")
+CONTINUED = re.compile(r"\s*+(?:(?:\+|\.\.?|&|\\)\s*+|(?=[A-Za-z]{0,2}[\"'`]))")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: How strongly a part of a name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "bearer": 0.8, "pass": 0.7, "auth": 0.6, "signature": 0.5, "key": 0.5, "private": 0.4, "access": 0.3, "api": 0.4, "client": 0.2, "signing": 0.4, "encryption": 0.4}
@@ -64,24 +74,81 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.25 + 0.25 * kinds)
 
 
+Pieces = tuple[tuple[int, int], ...]
+
+
+class Constants:
+    """Where the literals of names stand; a dotted name also goes by its last part."""
+
+    def __init__(self) -> None:
+        self.full: dict[str, Pieces] = {}
+        self.last: dict[str, Pieces] = {}
+
+    def put(self, name: str, at: Pieces) -> None:
+        self.full[name] = self.last[name.rpartition(".")[2]] = at
+
+    def get(self, name: str) -> Pieces | None:
+        return self.full.get(name) or self.last.get(name.rpartition(".")[2])
+
+
+def value_at(text: str, at: int, constants: Constants) -> tuple[Pieces, int]:
+    """The pieces of the value that starts at ``at``, and where it ends: literals and constants put together, or a bare value."""
+    pieces: list[tuple[int, int]] = []
+    quoted = False
+    end = at
+    if inside := OPENED.match(text, at):
+        at = inside.end()
+    while True:
+        if m := QUOTED.match(text, at):
+            start, end = m.span(m.lastgroup)
+            if m.lastgroup not in ("double", "single"):
+                inner = text[start:end]
+                start, end = start + len(inner) - len(inner.lstrip()), start + len(inner.rstrip())
+            pieces += [(start, end)] if end > start else []
+            quoted, end = True, m.end()
+        elif quoted:
+            if not (m := NAME.match(text, at)) or not (found := constants.get(m[0])):
+                break
+            pieces += found
+            end = m.end()
+        elif m := CALLED.match(text, at) or BARE.match(text, at):
+            if not (name := IDENTIFIER.match(m[0])) or not (found := constants.get(name[0])):
+                closers = "".join(y for x, y in ("()", "[]", "{}") if x not in m[0])
+                return ((at, at + max(1, len(m[0].rstrip(",;" + closers)))),), m.end()
+            pieces += found
+            end = at + len(name[0])
+        else:
+            break
+        joint = (CONTINUED if inside else CONCATENATED).match(text, end)
+        if not joint or joint.end() == end and not quoted:
+            break
+        at = joint.end()
+    return tuple(dict.fromkeys(pieces)), end
+
+
 def assigned_spans(text: str, threshold: float = 0.35) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants assigned before.
 
-    Statements are lexed in order into (name, literal) pairs. A bare value that is the name of an
-    earlier constant stands for its literal, so a chain of names leads back to where the literal
-    is written, and that place is the span.
+    Statements are lexed in order into (name, value) pairs, the value being one literal or several
+    put together. A bare value that is the name of an earlier constant stands for its literal, so a
+    chain of names leads back to where the literal is written, and each such place is a span.
     """
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[int, int]] = {}
+    constants = Constants()
     out = set()
-    for m in STATEMENT.finditer(text):
-        group = m.lastgroup
-        name, at = m["name"], m.span(group)
-        at = constants.get(m["bare"], at) if group == "bare" else at
-        constants[name] = at
-        if (sensitive := name_score(name)) >= 0.5 and sensitive * literal_score(text[slice(*at)]) >= threshold:
-            out.add(Span(at[0], 3, at[1]))
+    end = 0
+    while m := TARGET.search(text, end):
+        kind = TYPE.match(text, m.end()) if m["sign"] == ":" else None
+        pieces, end = value_at(text, kind.end(), constants) if kind else ((), 0)
+        if not end or end == kind.end():
+            pieces, end = value_at(text, m.end(), constants)
+        if not pieces:
+            continue
+        if not m["places"]:
+            constants.put(m["name"], pieces[:MOST_PIECES])
+        if (sensitive := name_score(m["name"] + (m["places"] or ""))) >= 0.5 and sensitive * literal_score("".join(text[a:b] for a, b in pieces)) >= threshold:
+            out.update(Span(a, 3, b) for a, b in pieces)
     return sorted(out)
 
 

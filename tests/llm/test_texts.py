@@ -95,6 +95,49 @@ def test_lexer_adds_literals_and_propagates_constants():
     assert secret_scan.replaced(text, spans, "#").count("#") == 2
 
 
+K = "Zk9$Qm2!vTx8#Lp4"
+FORMS = [
+    (f"DB_PASSWORD={K}\nNEXT=1", [K]),
+    (f"db_password: {K} # a comment", [K]),
+    (f"[db]\npassword = {K}", [K]),
+    (f'api_key: str = "{K}"', [K]),
+    (f'const password: string = "{K}";', [K]),
+    (f'password: Optional[str]="{K}"', [K]),
+    (f'os.environ["DB_PASSWORD"] = "{K}"', [K]),
+    (f"config['db']['password'] = '{K}'", [K]),
+    (f'passwords[0] = 1; password[0] = "{K}"', [K]),
+    (f"const token = `{K}`;", [K]),
+    (f'password = """{K}"""', [K]),
+    (f"password = '''\n{K}\n'''", [K]),
+    (f'password = b"{K}"', [K]),
+    ('password = "Zk9$" + "Qm2!vTx8#Lp4"', ["Zk9$", "Qm2!vTx8#Lp4"]),
+    ('password = ("Zk9$"\n  "Qm2!vTx8#Lp4")', ["Zk9$", "Qm2!vTx8#Lp4"]),
+    ('password = "Zk9$" +\n  "Qm2!vTx8#Lp4"', ["Zk9$", "Qm2!vTx8#Lp4"]),
+    (f'self.DEFAULT = "{K}"\npassword = self.DEFAULT', [K]),
+    (f'DEFAULT = "{K}"\npassword = self.DEFAULT;', [K]),
+    (f'DEFAULT = "{K}"\npassword = "a" + Config.DEFAULT', [K, "a"]),
+    (f"u = http://h.example/?password={K}&x=1", [K]),
+    (f'x = client(password="{K}", retries=3)', [K]),
+    (f'{{"a":{{"password":"{K}"}}}}', [K]),
+    (f"{{password: {K}, user: x}}", [K]),
+    ('title = "Zk9$Qm2!vTx8#Lp4"', []),
+]
+
+
+@pytest.mark.parametrize("text, want", FORMS)
+def test_lexer_forms(text, want):
+    assert sorted(text[s.start : s.end] for s in secret_scan.assigned_spans(text)) == sorted(want)
+
+
+def test_lexer_is_linear_on_runs():
+    import time
+
+    for unit in ("a=", "password=", "a[", 'a="', "a:b|", "a=`", "a,", "key='''", 'x+"a"', "a=b,", "a=(", "a=\"b\"+", "token=(a{"):
+        start = time.perf_counter()
+        secret_scan.assigned_spans(unit * (200_000 // len(unit)))
+        assert time.perf_counter() - start < 5, unit
+
+
 def test_short_match_is_consumed():
     assert secret_scan.base_spans("secret=token=abc") == secret_scan.base_spans("") and secret_scan.base_spans('token: "password: abcdefghijklmno') == []
 
