@@ -94,7 +94,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
     kind = F.element_at(F.array(*map(F.lit, ("lookup", "penalty", "unanswerable", "riddle"))), (F.col("turn") % 4 + 1).cast("int"))
     gold = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array((F.col("conv_id") * 40).cast("string")))
-    return rows.select((F.col("conv_id") * 100 + F.floor(F.col("turn") / 2)).cast("string").alias("id"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.substring("text", 1, 7).alias("question"), kind.alias("question_type"), gold.alias("gold"), F.array(F.col("turn").cast("string")).alias("supporting"))
+    return rows.select((F.col("conv_id") * 100 + F.floor(F.col("turn") / 2)).cast("string").alias("id"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("text").alias("question"), kind.alias("question_type"), gold.alias("gold"), F.array(F.col("turn").cast("string")).alias("supporting"))
 
 
 ITEMS = """

@@ -236,6 +236,13 @@ def test_item_violations(spark):
     assert got == {("a", "bad type"), ("a", "duplicate id"), ("a", "unknown section 9"), ("b", "missing question"), ("b", "unanswerable with gold"), ("c", "no gold")}
 
 
+def test_items_have_their_whole_question(spark, tmp_path):
+    from spindrift.plans import sets
+
+    spark.createDataFrame([(1, 0, "user", "a question of some length")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sets.items(spark, str(tmp_path)).first().question == "a question of some length"
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text(json.dumps({"section_id": "1", "book": {"number": "2", "heading": "h"}}) + "\n\n")
     s = io.read_sections(spark, str(tmp_path / "s.jsonl")).collect()
