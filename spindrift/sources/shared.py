@@ -2,35 +2,73 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a local one only where the session names none, as in tests."""
+    """The folder every executor sees: what ``spark.checkpoint.dir`` names.
+
+    A session without that setting gets a local folder if its executors are threads of the driver, as
+    in tests. On a cluster each executor would write its own disk, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/spindrift-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/spindrift-shared"
+
 
+def _path(table: DataFrame):
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    return path, path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration())
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+
+def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs a re-read and not a recomputation.
+    The lineage ends there, so a lost executor costs a re-read and not a recomputation. The table
+    goes with the ``scope`` that it is made in, or with the one around that if ``outer`` is set,
+    and in any case when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
+    made, system = _path(out)
+    system.deleteOnExit(made)
+    scopes = getattr(_OPEN, "scopes", [])
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.shared_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _path(t)
+        system.delete(path, True)
+        system.cancelDeleteOnExit(path)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables that ``cut`` makes within are deleted at the end, but for those made with ``outer``."""
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    made: list[DataFrame] = []
+    _OPEN.scopes.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.scopes.pop()
+        discard(*made)
