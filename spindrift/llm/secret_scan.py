@@ -21,24 +21,42 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run is taken whole, so this is AK
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGNED = 12
 
-#: A name, with a closing quote or subscripts after it, and an assigning sign, in source code, JSON, YAML, INI or shell.
-TARGET = re.compile(r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:["'`]?\]|["'`]|(?P<places>(?:\[[^\[\]\n]*+\])++))?[ \t]*+(?P<sign>:=|=>|[:=])[ \t]*+""")
+#: Heads of pairs: a name with an assigning sign after it, or called, in source code, JSON, YAML, INI or shell; an XML element.
+HEAD = re.compile(r"""
+    (?<![A-Za-z0-9_.$-]) (?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)
+    (?: (?P<call>\([ \t\r\n]*+)
+      | (?:\\?["'`]?\]|\\?["'`]|(?P<places>(?:\[[^\[\]\n]*+\])++))? [ \t]*+ (?P<sign>:=|=>|[:=]) [ \t]*+ )
+  | <(?P<tag>[A-Za-z_][A-Za-z0-9_.:-]*+) (?:[ \t\r\n][^<>]*+)? (?<!/)> (?P<body>[^<>]*+) </(?P=tag)[ \t]*+>""", re.VERBOSE)
 #: A type between ``:`` and ``=``; ``=`` has a space beside it or a quote after it, else it is part of a bare value.
 TYPE = re.compile(r"""(?:[A-Za-z_][\w.]*+(?:\[(?:[^\[\]\n]|\[[^\[\]\n]*+\])*+\]|<(?:[^<>\n]|<[^<>\n]*+>)*+>)*+[?!]?(?:[ \t]*+\|[ \t]*+)?)++(?:[ \t]++=[ \t]*+|=(?=[ \t"'`])[ \t]*+)(?!=)""")
-QUOTED = re.compile(r"""(?:[A-Za-z]{1,2}(?=["'`]))?(?:\"{3}(?P<triple>(?s:.*?))\"{3}|'{3}(?P<three>(?s:.*?))'{3}|"(?P<double>[^"\n]*+)"|'(?P<single>[^'\n]*+)'|`(?P<back>[^`]*+)`)""")
-#: A name that is called or subscripted is a value without what it is called with.
-CALLED = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?=[(\[](?:[)\]"'`\s]|[A-Za-z0-9_.]*+(?:[,)\].(=\s]|$)))""")
+QUOTED = re.compile(r"""(?:[A-Za-z]{1,2}(?=["'`]))?(?:\"{3}(?P<triple>(?s:.*?))\"{3}|'{3}(?P<three>(?s:.*?))'{3}|"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<back>[^`]*+)`)|\\"(?P<nested>[^"\\\n]*+)\\" """.rstrip())
+#: A name that is called or subscripted is no value.
+CALLED = re.compile(r"""[A-Za-z_$][A-Za-z0-9_.$]*+(?=[(\[](?:[)\]"'`\s]|[A-Za-z0-9_.$]*+(?:[,)\].(=\s]|$)))""")
 #: Up to white space, the end, or a sign before which another name is assigned to; brackets first only around plain text.
-BARE = re.compile(r"""(?:[^\s"'`,;=:#&?()\[\]{}<>]|[({\[<](?=[^\s"'`=:]*+(?!\S))|[#&?](?=\S))(?:[^\s&,;?(){}\[\]"'`]|[&,;?(){}\[\]"'`]++(?!["'`]*+[A-Za-z_][A-Za-z0-9_.-]*+["'`]?\]?[:=]))*+""")
+BARE = re.compile(r"""(?:[^\s"'`,;=:#&?()\[\]{}<>\\]|[({\[<](?=[^\s"'`=:]*+(?!\S))|[#&?](?=\S))(?:[^\s&,;?(){}\[\]"'`<]|[&,;?(){}\[\]"'`<]++(?!["'`/]*+[A-Za-z_][A-Za-z0-9_.-]*+["'`]?\]?[:=>]))*+""")
 OPENED = re.compile(r"\(\s*+(?=[A-Za-z]{0,2}[\"'`])")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*+(?=[,;)\]}]*+$)")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+(?![ \t]*+[:=(\[])")
-MOST_PIECES = 1000
 CONCATENATED = re.compile(r"[ \t]*+(?:(?:\+|\.\.?|&|\\)[ \t]*+(?:\r?\n[ \t]*+)?|(?:\r?\n[ \t]*+)\+[ \t]*+|(?=[\"'`]))")
 CONTINUED = re.compile(r"\s*+(?:(?:\+|\.\.?|&|\\)\s*+|(?=[A-Za-z]{0,2}[\"'`]))")
+COMMA = re.compile(r"\s*+,\s*+")
+#: What a value on the lines after its name starts with: nothing, or the mark of a block; and what is no value there.
+NEXT_LINE = re.compile(r"(?:[|>][+-]?[0-9]?)?[ \t]*+\r?\n(?P<indent>[ \t]*+)(?=[^\s#])")
+ITEM = re.compile(r"""-[ \t]|["'`]?[A-Za-z_$][A-Za-z0-9_.$-]*+["'`]?[ \t]*+[:=]""")
+#: Names that stand for the one before them, and what may stand between the two.
+STANDS_FOR = {"value", "default", "text", "data", "literal", "plaintext", "content", "stringvalue"}
+NAMING = {"key", "name", "id"}
+BETWEEN = re.compile(r"""[\s"'`,;{\[(|>\\-]*+""")
+RANDOM = re.compile(r"(?=.*[a-z])(?=.*[A-Z]).*[0-9].*[^0-9].*[0-9]")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: How strongly a part of a name says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "bearer": 0.8, "pass": 0.7, "auth": 0.6, "signature": 0.5, "key": 0.5, "private": 0.4, "access": 0.3, "api": 0.4, "client": 0.2, "signing": 0.4, "encryption": 0.4}
+#: Words that show in a name even where nothing parts them from the rest of it.
+STRONG = ("password", "passwd", "passphrase", "secret", "apikey", "credential", "credentials", "token")
+#: A text without any of the words has no sensitive name; those left out here don't reach the least score alone.
+HINT = re.compile("(?ai)pass|pwd|secret|token|credential|key|bearer|auth|signature|private|access|api|signing|encryption")
+LEAST_NAME = 0.5
+MOST_SCORED = 100
 PLACEHOLDER = re.compile(r"(?ai)^(x+|\*+|changeme|example|placeholder|your[_-].*|none|null|true|false|test|dummy|\$?\{.*\}|<.*>)$")
 
 
@@ -61,7 +79,10 @@ def base_spans(text: str) -> list[Span]:
 
 def name_score(name: str) -> float:
     """0 to 1 for the sensitivity of a target name, by its parts in any casing style."""
-    return min(1.0, sum(SENSITIVE.get(part.lower(), 0.0) for part in set(PART.findall(name))))
+    total = 0.0
+    for part in {p.lower() for p in PART.findall(name)}:
+        total += SENSITIVE.get(part) or max((SENSITIVE[s] for s in STRONG if part.startswith(s) and part[len(s) :] == "s" or part.endswith(s)), default=0.0)
+    return min(1.0, total)
 
 
 def literal_score(value: str) -> float:
@@ -74,26 +95,53 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.25 + 0.25 * kinds)
 
 
-Pieces = tuple[tuple[int, int], ...]
+class Value:
+    """Literals put together: places in the text, and values of earlier statements.
+
+    ``head`` holds the first places, which are scored; ``places`` gives those not given before, so
+    that all statements together are linear in the text however they build on each other.
+    """
+
+    __slots__ = ("parts", "head", "given")
+
+    def __init__(self, parts: list[tuple[int, int] | Value]):
+        self.parts, self.given = parts, False
+        head: list[tuple[int, int]] = []
+        for p in parts:
+            head += p.head if isinstance(p, Value) else [p]
+            if len(head) >= MOST_SCORED:
+                break
+        self.head = tuple(head[:MOST_SCORED])
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        todo: list = [self]
+        while todo:
+            p = todo.pop()
+            if not isinstance(p, Value):
+                yield p
+            elif not p.given:
+                p.given = True
+                todo += p.parts
 
 
 class Constants:
-    """Where the literals of names stand; a dotted name also goes by its last part."""
+    """Values by name; a dotted name also goes by its last part."""
 
     def __init__(self) -> None:
-        self.full: dict[str, Pieces] = {}
-        self.last: dict[str, Pieces] = {}
+        self.full: dict[str, Value] = {}
+        self.last: dict[str, Value] = {}
 
-    def put(self, name: str, at: Pieces) -> None:
-        self.full[name] = self.last[name.rpartition(".")[2]] = at
+    def put(self, name: str, value: Value) -> None:
+        self.full[name] = self.last[name.rpartition(".")[2]] = value
 
-    def get(self, name: str) -> Pieces | None:
+    def get(self, name: str) -> Value | None:
         return self.full.get(name) or self.last.get(name.rpartition(".")[2])
 
 
-def value_at(text: str, at: int, constants: Constants) -> tuple[Pieces, int]:
-    """The pieces of the value that starts at ``at``, and where it ends: literals and constants put together, or a bare value."""
-    pieces: list[tuple[int, int]] = []
+def value_at(text: str, at: int, constants: Constants, bare: bool = True) -> tuple[Value | None, int]:
+    """The value that starts at ``at``, and where it ends: literals and constants put together, or a
+    bare value, which is no literal if it is a name."""
+    parts: list = []
     quoted = False
     end = at
     if inside := OPENED.match(text, at):
@@ -104,60 +152,129 @@ def value_at(text: str, at: int, constants: Constants) -> tuple[Pieces, int]:
             if m.lastgroup not in ("double", "single"):
                 inner = text[start:end]
                 start, end = start + len(inner) - len(inner.lstrip()), start + len(inner.rstrip())
-            pieces += [(start, end)] if end > start else []
+            parts += [(start, end)] if end > start else []
             quoted, end = True, m.end()
-        elif quoted:
+        elif quoted or not bare:
             if not (m := NAME.match(text, at)) or not (found := constants.get(m[0])):
                 break
-            pieces += found
+            parts.append(found)
             end = m.end()
-        elif m := CALLED.match(text, at) or BARE.match(text, at):
-            if not (name := IDENTIFIER.match(m[0])) or not (found := constants.get(name[0])):
+        elif m := CALLED.match(text, at):
+            return None, m.end()
+        elif m := BARE.match(text, at):
+            if name := IDENTIFIER.match(m[0]):
+                found = constants.get(name[0])
+                if not found and not RANDOM.match(name[0]):
+                    return None, at + len(name[0])
+                parts.append(found or (at, at + len(name[0])))
+                end = at + len(name[0])
+            else:
                 closers = "".join(y for x, y in ("()", "[]", "{}") if x not in m[0])
-                return ((at, at + max(1, len(m[0].rstrip(",;" + closers)))),), m.end()
-            pieces += found
-            end = at + len(name[0])
+                return Value([(at, at + max(1, len(m[0].rstrip(",;" + closers))))]), m.end()
         else:
             break
         joint = (CONTINUED if inside else CONCATENATED).match(text, end)
         if not joint or joint.end() == end and not quoted:
             break
         at = joint.end()
-    return tuple(dict.fromkeys(pieces)), end
+    return (Value(parts) if parts else None), end
 
 
-def assigned_spans(text: str, threshold: float = 0.35) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through constants assigned before.
+def below(text: str, start: int, at: int, constants: Constants) -> tuple[Value | None, int]:
+    """A value on the lines below its name, which starts at ``start``: quoted, or further in than the name's line."""
+    if not (m := NEXT_LINE.match(text, at)):
+        return None, at
+    line = text.rfind("\n", 0, start) + 1
+    indent = len(text[line:start]) - len(text[line:start].lstrip(" \t"))
+    quoted = QUOTED.match(text, m.end())
+    if ITEM.match(text, m.end()) or not quoted and len(m["indent"]) <= indent:
+        return None, at
+    value, end = value_at(text, m.end(), constants)
+    return (value, end) if value else (None, at)
+
 
-    Statements are lexed in order into (name, value) pairs, the value being one literal or several
-    put together. A bare value that is the name of an earlier constant stands for its literal, so a
-    chain of names leads back to where the literal is written, and each such place is a span.
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) pairs in order.
+
+    A bare value or argument that is the name of an earlier constant stands for its value, so a
+    chain of names leads back to where the literals are written. A name such as ``value`` right
+    after another one, or after one that ``key`` or ``name`` gives, takes that one's place.
     """
-    if "=" not in text and ":" not in text:
-        return []
-    constants = Constants()
-    out = set()
-    end = 0
-    while m := TARGET.search(text, end):
+    constants, label, end = Constants(), (None, 0), 0
+    while m := HEAD.search(text, end):
+        start = m.start()
+        if m["tag"]:
+            end = m.end()
+            inner = m["body"].strip()
+            if inner:
+                at = m.start("body") + m["body"].index(inner)
+                yield m["tag"].rpartition(":")[2], Value([(at, at + len(inner))])
+            continue
+        if m["call"]:
+            end = m.end()
+            value, after = value_at(text, end, constants, bare=False)
+            if not value:
+                continue
+            first = text[slice(*value.head[0])] if len(value.head) == 1 else ""
+            if (comma := COMMA.match(text, after)) and IDENTIFIER.fullmatch(first):
+                second, behind = value_at(text, comma.end(), constants, bare=False)
+                if second:
+                    yield first, second
+                    end = behind
+                    continue
+            yield m["name"].rpartition(".")[2], value
+            continue
         kind = TYPE.match(text, m.end()) if m["sign"] == ":" else None
-        pieces, end = value_at(text, kind.end(), constants) if kind else ((), 0)
+        value, end = value_at(text, kind.end(), constants) if kind else (None, 0)
         if not end or end == kind.end():
-            pieces, end = value_at(text, m.end(), constants)
-        if not pieces:
+            value, end = value_at(text, m.end(), constants)
+        if end == m.end() and m["sign"] == ":":
+            value, end = below(text, start, end, constants)
+        name = m["name"]
+        short = name.rpartition(".")[2].lower()
+        if label[0] and short in STANDS_FOR and BETWEEN.fullmatch(text, label[1], start):
+            name = label[0]
+        label = (None, 0)
+        if value is None:
+            given = text[m.end() : end]
+            label = (given if short in NAMING and IDENTIFIER.fullmatch(given) else name, end)
             continue
+        if short in NAMING and len(value.head) == 1 and IDENTIFIER.fullmatch(given := text[slice(*value.head[0])]):
+            label = (given, end)
         if not m["places"]:
-            constants.put(m["name"], pieces[:MOST_PIECES])
-        if (sensitive := name_score(m["name"] + (m["places"] or ""))) >= 0.5 and sensitive * literal_score("".join(text[a:b] for a, b in pieces)) >= threshold:
-            out.update(Span(a, 3, b) for a, b in pieces)
+            constants.put(name, value)
+        yield name + (m["places"] or ""), value
+
+
+def assigned_spans(text: str, threshold: float = 0.35) -> list[Span]:
+    """Literals that reach a sensitive name, directly or through constants assigned before: each
+    place of a value whose name and text, its first places put together, score ``threshold`` or more."""
+    out = set()
+    if HINT.search(text):
+        for name, value in pairs(text):
+            if (sensitive := name_score(name)) >= LEAST_NAME and sensitive * literal_score("".join(text[a:b] for a, b in value.head)) >= threshold:
+                out.update(Span(a, 3, b) for a, b in value.places())
     return sorted(out)
 
 
+def uncovered(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``spans`` that lie in none of ``base``; both are sorted."""
+    out, i, reach = [], 0, -1
+    for s in spans:
+        while i < len(base) and base[i].start <= s.start:
+            reach = max(reach, base[i].end)
+            i += 1
+        if s.end > reach:
+            out.append(s)
+    return out
+
+
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: with those of the lexer that no base span covers."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in assigned_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    more = uncovered(assigned_spans(text), base)
     return base, sorted(base + more) if more else base
 
 
@@ -170,8 +287,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", redact: str | None = None,
     Places are code points with exclusive ends. ``base`` holds the fixed patterns' spans; ``spans``
     adds kind ``literal`` from assignments. With ``redact``, every span in the text is replaced by
     that string and overlapping spans by a single one. Null and empty texts have no spans and stay.
-    Rows are independent; older columns named ``base`` or ``spans`` are replaced. Without
-    ``redact`` the text itself is not returned.
+    Very long texts are scanned whole, in a block of their own, in time linear in their length. Rows
+    are independent, so repeated ones and null ids stay and no rows give none. Older columns named
+    ``base`` or ``spans`` are replaced. Without ``redact`` the text itself is not returned.
     """
     docs = docs.drop("base", "spans")
     fields = [f for f in docs.schema.fields if redact is not None or f.name != text]
