@@ -53,8 +53,8 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "bearer": 0.8, "pass": 0.7, "auth": 0.6, "signature": 0.5, "key": 0.5, "private": 0.4, "access": 0.3, "api": 0.4, "client": 0.2, "signing": 0.4, "encryption": 0.4}
 #: Words that show in a name even where nothing parts them from the rest of it.
 STRONG = ("password", "passwd", "passphrase", "secret", "apikey", "credential", "credentials", "token")
-#: A text without any of the words has no sensitive name; those left out here don't reach the least score alone.
-HINT = re.compile("(?ai)pass|pwd|secret|token|credential|key|bearer|auth|signature|private|access|api|signing|encryption")
+#: A text without any of these has no sensitive name, as what is left out doesn't reach the least score alone.
+HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "bearer", "auth", "sign", "private", "access", "api", "encryption")
 LEAST_NAME = 0.5
 MOST_SCORED = 100
 PLACEHOLDER = re.compile(r"(?ai)^(x+|\*+|changeme|example|placeholder|your[_-].*|none|null|true|false|test|dummy|\$?\{.*\}|<.*>)$")
@@ -250,7 +250,8 @@ def assigned_spans(text: str, threshold: float = 0.35) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants assigned before: each
     place of a value whose name and text, its first places put together, score ``threshold`` or more."""
     out = set()
-    if HINT.search(text):
+    low = text.lower()
+    if any(h in low for h in HINTS):
         for name, value in pairs(text):
             if (sensitive := name_score(name)) >= LEAST_NAME and sensitive * literal_score("".join(text[a:b] for a, b in value.head)) >= threshold:
                 out.update(Span(a, 3, b) for a, b in value.places())
