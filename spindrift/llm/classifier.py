@@ -165,11 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_pass
             x, counts = encode_passages(part.column("t").to_pylist())
             ends = np.cumsum(counts)
             raw = [x[e - c : e].astype(np.float16).tobytes() for c, e in zip(counts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(raw, pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), pa.array(raw, pa.binary())], names=["id", "y", "h", "x"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_passages * PASSAGE)
-    joined = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("t"), "t")).alias("s"))
-    rows = arrow_rows(joined.select(F.col("id").cast("long").alias("id"), "y", F.col("s.t").alias("t"))).mapInArrow(run, "id long, y double, x binary").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_passages * PASSAGE)
+    joined = arrow_rows(texts.join(F.broadcast(sample.select(F.col("id").cast("long").alias("id"), "y")), "id")).select("id", "y", F.xxhash64("t").alias("h"), "t")
+    rows = joined.mapInArrow(run, "id long, y double, h long, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
     rows.sort(key=lambda r: r["id"])
     if not rows:
         return AttentionModel().fit(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
