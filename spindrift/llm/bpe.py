@@ -43,8 +43,12 @@ class Vocabulary:
                 if left is not None and right is not None:
                     keys.append(left * self.size + right)
                     values.append(rank)
-        order = np.argsort(keys)
+        order = np.argsort(keys) if keys else np.zeros(0, np.int64)
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+        left, right = np.divmod(self.keys, self.size)
+        early = np.concatenate([left[self.values < left], right[self.values < right]])
+        #: Merged tokens that a pair of a lower rank than their own has a part in.
+        self.early = {int(t) for t in np.unique(early) if len(self.tokens[t]) > 1}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -55,6 +59,8 @@ class Vocabulary:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, NONE where there is none."""
+        if not len(self.keys):
+            return np.full(len(left), NONE, np.int32)
         wanted = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.keys, wanted)
         at[at == len(self.keys)] = 0
@@ -62,21 +68,43 @@ class Vocabulary:
 
 
 def one_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """The textbook loop over a single word: merge the leftmost pair of least rank, again and again."""
-    parts, ranks = [bytes([b]) for b in word], vocabulary.ranks
-    while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-        if rank == NONE:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    """A single word by the rule itself: merge the leftmost pair of least rank, again and again.
+
+    Pairs wait in a heap by rank and place; one that a merge has changed is passed over.
+    """
+    ranks, n = vocabulary.ranks, len(word)
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def put(i: int) -> None:
+        j = following[i]
+        if j < n and (rank := ranks.get(parts[i] + parts[j])) is not None:
+            heapq.heappush(heap, (rank, i, len(parts[i]) + len(parts[j])))
+
+    for i in range(n):
+        put(i)
+    while heap:
+        rank, i, size = heapq.heappop(heap)
+        j = following[i]
+        if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != size or ranks.get(parts[i] + parts[j]) != rank:
+            continue
+        parts[i] += parts[j]
+        parts[j] = None
+        following[i] = following[j]
+        if following[i] < n:
+            before[following[i]] = i
+        put(i)
+        if before[i] >= 0:
+            put(before[i])
+    return [ranks[p] for p in parts if p is not None]
 
 
 def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     """The token ids of each word; words are not empty and are merged apart from each other.
 
-    A merge that makes a pair of a lower rank than its own could come before another merge of the
-    same word; such words, which trained vocabularies hardly have, are merged again one by one.
+    A merge whose token has a part in a pair of a lower rank could have to wait for that one in a
+    word; such words, which trained vocabularies hardly have, are merged again one by one.
     """
     if not words:
         return []
@@ -119,6 +147,8 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         at = at[rank[at] == now]
         if not len(at):
             continue
+        if now in vocabulary.early:
+            again.append(at)
         if len(at) > 1:
             at.sort()
             touching = at[1:] == following[at[:-1]]
@@ -142,8 +172,6 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         rank[left] = vocabulary.pair_ranks(token[left], token[following[left]])
         touched = np.unique(np.concatenate([right, left]))
         if len(touched):
-            if (lower := rank[touched] < now).any():
-                again.append(touched[lower])
             put(touched)
     ids = token[alive].tolist()
     ends = np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64)).tolist()
@@ -227,9 +255,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", blo
     """``docs`` with ``ids`` (array of int) instead of ``text``.
 
     Every match of ``pattern`` is encoded by itself; null and empty texts have no ids. Texts are
-    taken whole, in blocks of ``block_bytes``; a block's new words are one corpus for the replay,
-    and up to ``most_words`` words are remembered between blocks. Rows are independent; other
-    columns pass through, an older column ``ids`` is replaced.
+    taken whole, in blocks of ``block_bytes``, a longer one in a block of its own; a block's new
+    words are one corpus for the replay, and up to ``most_words`` words are remembered between
+    blocks. Equal ranks of a word go from the left. Rows are independent, so repeated ones and null
+    ids stay and no rows give none; other columns pass through, an older column ``ids`` is replaced.
     """
     docs = docs.drop("ids")
     schema = _without(docs.schema, text).add("ids", T.ArrayType(T.IntegerType(), False))
