@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, blocks
 
 #: Between a character that isn't white space and a single space before another such character.
 #: Byte-level splitters never join text across it, and no special token holds a space.
@@ -32,30 +32,32 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def pieces(text: str, most: int) -> list[str]:
-    """``text`` cut at safe boundaries into parts of about ``most`` characters.
+def pieces(text: str, most: int) -> list[tuple[str, int]]:
+    """``text`` cut at safe boundaries into parts of about ``most`` bytes, each with its size.
 
     A part is longer where the text has no boundary; no character is lost and no token is split.
     """
-    if len(text) <= most:
-        return [text]
+    size = len(text) if text.isascii() else len(text.encode())
+    if size <= most:
+        return [(text, size)]
+    step = max(1, most * len(text) // size)  # characters that take about that many bytes
     out, start = [], 0
-    while len(text) - start > most:
-        found = BOUNDARY.search(text, start + most)
+    while len(text) - start > step:
+        found = BOUNDARY.search(text, start + step)
         if not found:
             break
         out.append(text[start : found.start()])
         start = found.start()
     out.append(text[start:])
-    return out
+    return [(part, len(part) if part.isascii() else len(part.encode())) for part in out]
 
 
-def count_lengths(texts: list[str | None], path: str, batch_chars: int, piece_chars: int) -> np.ndarray:
-    """The number of tokens of each text; batches hold about ``batch_chars`` characters."""
+def count_lengths(texts: list[str | None], path: str, batch_bytes: int, piece_bytes: int) -> np.ndarray:
+    """The number of tokens of each text; the library gets batches of about ``batch_bytes`` bytes."""
     counts, tok = np.zeros(len(texts), np.int64), tokenizer(path)
     owners: list[int] = []
     parts: list[str] = []
-    size = 0
+    held = 0
 
     def flush() -> None:
         np.add.at(counts, owners, [len(x) for x in tok.encode_batch_fast(parts, add_special_tokens=False)])
@@ -63,25 +65,26 @@ def count_lengths(texts: list[str | None], path: str, batch_chars: int, piece_ch
         parts.clear()
 
     for i, text in enumerate(texts):
-        for part in pieces(text, piece_chars) if text else ():
+        for part, size in pieces(text, piece_bytes) if text else ():
+            if held and held + size > batch_bytes:
+                flush()
+                held = 0
             owners.append(i)
             parts.append(part)
-            size += len(part)
-            if size >= batch_chars:
-                flush()
-                size = 0
+            held += size
     if parts:
         flush()
     return counts
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", batch_chars: int = 500_000, piece_chars: int = 50_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", batch_bytes: int = 500_000, piece_bytes: int = 50_000) -> DataFrame:
     """Add ``n_bytes`` and ``n_tokens`` to ``docs``.
 
     Texts are encoded by the library without begin, end or added special tokens, special strings
-    inside a text as its default has it. Null and empty texts have 0 bytes and 0 tokens. Batches
-    are balanced by size and long texts are cut at safe boundaries, so that memory is bounded by
-    ``batch_chars`` and the longest run without a boundary. Rows are independent: repeated rows,
+    inside a text as its default has it. Null and empty texts have 0 bytes and 0 tokens. Rows are
+    gathered to blocks of ``batch_bytes`` bytes of text, and a longer text is cut at safe
+    boundaries, so the library gets batches of about that size and memory is bounded by them, the
+    longest text and the longest run without a boundary. Rows are independent: repeated rows,
     null ids and tables without rows need no care; other columns pass through, except that older
     columns named ``n_bytes`` or ``n_tokens`` are replaced.
     """
@@ -89,8 +92,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", batch
     schema = docs.drop(text).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = count_lengths(batch.column(text).to_pylist(), tokenizer_path, batch_chars, piece_chars)
+        for batch in blocks(batches, text, batch_bytes):
+            counts = count_lengths(batch.column(text).to_pylist(), tokenizer_path, batch_bytes, piece_bytes)
             rest = [(n, batch.column(n)) for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(counts)], names=[n for n, _ in rest] + ["n_tokens"])
 

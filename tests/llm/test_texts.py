@@ -45,6 +45,33 @@ def test_merge_that_lowers_a_rank_is_redone():
         assert bpe.replay([word], v) == [bpe.one_word(word, v)]
 
 
+def by_definition(word, ranks):
+    parts = [bytes([b]) for b in word]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
+        if rank == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@given(st.lists(st.sampled_from(["ab", "ba", "aa", "bb", "abab", "aba", "bab", "aab", "abb", "aaaa"]), unique=True), st.lists(st.binary(min_size=1, max_size=14).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_any_ranks_equal_the_definition(merges, words):
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {m.encode(): 256 + i for i, m in enumerate(merges)})
+    want = [by_definition(w, v.ranks) for w in words]
+    assert [bpe.one_word(w, v) for w in words] == want and bpe.replay(words, v) == want
+
+
+def test_long_words_that_are_redone_take_no_square_of_time():
+    import time
+
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"abab": 256, b"ab": 257, b"aba": 258})
+    start = time.perf_counter()
+    assert len(bpe.replay([b"ab" * 100_000], v)[0]) == 50_000
+    assert time.perf_counter() - start < 10
+
+
 def test_encode_decode_round_trip(odd, none, reference):
     coded = bpe.bpe_decode(bpe.bpe_encode(odd, RANKS, P.PATTERN), RANKS)
     rows = coded.collect()
@@ -64,8 +91,27 @@ def test_counts_equal_library(odd, none):
 
 def test_long_texts_are_cut_without_changing_counts():
     text = "some words <|endoftext|> and  double  spaces\n and more " * 200
-    assert "".join(pieces(text, 100)) == text and len(pieces(text, 100)) > 50
-    assert count_lengths([text], JSON, 1000, 100)[0] == len(Tokenizer.from_file(JSON).encode(text, add_special_tokens=False))
+    whole = Tokenizer.from_file(JSON)
+    for long in (text, text.replace("o", "ö"), "\u65e5\u672c " * 3000, "x" * 5000):
+        cut = pieces(long, 100)
+        assert "".join(p for p, _ in cut) == long and all(n == len(p.encode()) for p, n in cut)
+        assert count_lengths([long, None, long], JSON, 1000, 100).tolist() == [len(whole.encode(long, add_special_tokens=False)), 0] + [len(whole.encode(long, add_special_tokens=False))]
+    assert len(pieces(text, 100)) > 50 and max(n for _, n in pieces(text, 100)) < 150
+
+
+def test_batches_are_balanced_by_bytes(monkeypatch):
+    from spindrift.llm import token_counts as module
+
+    got = []
+
+    class Library:
+        def encode_batch_fast(self, parts, add_special_tokens):
+            got.append(sum(len(p.encode()) for p in parts))
+            return [[0] for _ in parts]
+
+    monkeypatch.setattr(module, "tokenizer", lambda path: Library())
+    module.count_lengths(["日本 " * 20, "a b " * 35] * 30, "", 1000, 500)
+    assert len(got) > 5 and all(700 <= n <= 1000 for n in got[:-1])
 
 
 SECRETS = [
