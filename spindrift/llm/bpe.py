@@ -45,10 +45,6 @@ class Vocabulary:
                     values.append(rank)
         order = np.argsort(keys) if keys else np.zeros(0, np.int64)
         self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
-        left, right = np.divmod(self.keys, self.size)
-        early = np.concatenate([left[self.values < left], right[self.values < right]])
-        #: Merged tokens that a pair of a lower rank than their own has a part in.
-        self.early = {int(t) for t in np.unique(early) if len(self.tokens[t]) > 1}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -103,8 +99,9 @@ def one_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
 def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
     """The token ids of each word; words are not empty and are merged apart from each other.
 
-    A merge whose token has a part in a pair of a lower rank could have to wait for that one in a
-    word; such words, which trained vocabularies hardly have, are merged again one by one.
+    A merge that makes a pair of a lower rank than its own, if only until its neighbour is merged
+    too, could come before another merge of the same word; such words, which trained vocabularies
+    hardly have, are merged again one by one.
     """
     if not words:
         return []
@@ -147,8 +144,6 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         at = at[rank[at] == now]
         if not len(at):
             continue
-        if now in vocabulary.early:
-            again.append(at)
         if len(at) > 1:
             at.sort()
             touching = at[1:] == following[at[:-1]]
@@ -158,6 +153,9 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
                 at = at[(i - first) % 2 == 0]
         gone = following[at]
         after = following[gone]
+        if len(at) > 1 and (beside := np.flatnonzero(after[:-1] == at[1:])).size:  # of two side by side, the left one comes first
+            between = vocabulary.pair_ranks(np.full(len(beside), now), token[at[beside + 1]])
+            again.append(at[beside[between < now]])
         token[at] = now
         alive[gone] = False
         rank[gone] = NONE
@@ -172,6 +170,8 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         rank[left] = vocabulary.pair_ranks(token[left], token[following[left]])
         touched = np.unique(np.concatenate([right, left]))
         if len(touched):
+            if (lower := rank[touched] < now).any():
+                again.append(touched[lower])
             put(touched)
     ids = token[alive].tolist()
     ends = np.cumsum(np.add.reduceat(alive, starts, dtype=np.int64)).tolist()
