@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, discard, shared_dir  # noqa: F401
+from ..sources.shared import cut, discard, scope, shared_dir  # noqa: F401
 
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x09-\x0D\x20]"

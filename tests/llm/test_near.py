@@ -12,8 +12,11 @@ from tokenizers import Tokenizer
 from spindrift.llm.components import components
 from spindrift.llm.minhash import NearDuplicates, least_matches, shingle_set, surviving
 from spindrift.llm.packing import Slots, WordEncoder, pack_documents, plan_packs
+from spindrift.llm.queries import op3_embedding_dedup
 from spindrift.llm.vectors import MetricJoin
 
+DATA = "/root/testdata/sf0.001"
+
 
 def brute(nodes, links):
     parent = {n: n for n in nodes}
@@ -87,28 +90,47 @@ def test_pruning_bounds():
     assert surviving(a, b, [32, 64, 128], least).tolist() == [0]
 
 
-def test_metric_join_equals_brute_force(spark):
+def plain_links(rows, least=0.95):
+    """n_links and component of each row: distinct (id, vector) pairs are compared one by one."""
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    ok = {i: unit(v) for i, (n, v) in enumerate(rows) if n is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    first = {i: min(j for j in ok if rows[j][0] == rows[i][0] and len(ok[i]) == len(ok[j]) and np.abs(ok[i] - ok[j]).max() < 1e-12) for i in ok}
+    ones = sorted(set(first.values()))
+    links = {(i, j) for i in ones for j in ones if i != j and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= least}
+    comp = brute({n for n, _ in rows if n is not None}, [(rows[i][0], rows[j][0]) for i, j in links])
+    return [(sum(a == first.get(i) for a, _ in links), comp.get(n)) for i, (n, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind, block", [("double", 16 * 8 * 16), ("float", 40 * 8 * 16), ("float", 8 << 20)])
+def test_metric_join_equals_brute_force(spark, kind, block):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
     near = base[rng.integers(0, 5, 150)] + rng.normal(scale=0.08, size=(150, 16)) * rng.random((150, 1)) * 2
-    all_ = [v.tolist() for v in np.concatenate([base, near, near[:6], near[:2] * 3])]
-    all_ += [None, [], [0.0] * 16, [float("nan")] * 16, [1.0, None], [1.0, 2.0], [1.0, 2.0]]
-    rows = [(i * 3, v, 1) for i, v in enumerate(all_)]
-    ok = {i: np.array(v, float) / np.linalg.norm(v) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
-    links = [(i, j) for i in ok for j in ok if j != i and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.95]
-    comp = brute([r[0] for r in rows], links)
-    n = defaultdict(int)
-    for i, _ in links:
-        n[i] += 1
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
-    got = MetricJoin(per_cell=20, least_pivots=4, block=16).classes(table).collect()
-    assert len(got) == len(rows) and len(links) > 100
-    for r in got:
-        assert (r.n_links, r.component, r.kept) == (n[r.vec], comp[r.vec], comp[r.vec] == r.vec)
+    all_ = [v.astype(np.float32).tolist() for v in np.concatenate([base, near, near[:6], near[:2]])]
+    all_ += [None, [], [0.0] * 16, [float("nan")] * 16, [1.0, None], [1.0, 2.0], [1.0, 2.0], [2.0, 4.0]]
+    rows = [(i * 3, v) for i, v in enumerate(all_)]
+    rows += [rows[0], rows[45], rows[45], (7, rows[50][1]), (9, rows[60][1]), (9, rows[61][1]), (9, [5.0] * 16), (None, rows[45][1]), (None, None)]
+    want = sorted(map(repr, [(n, *x, x[1] is None or x[1] == n) for (n, _), x in zip(rows, plain_links(rows), strict=True)]))
+    table = spark.createDataFrame([(n, v, 1, "x") for n, v in rows], f"vec_id long, embedding array<{kind}>, n_links int, key string")
+    got = MetricJoin(block_bytes=block).classes(table).collect()
+    assert sorted(repr((r.vec, r.n_links, r.component, r.kept)) for r in got) == want
+    assert sum(r.n_links for r in got) > 300
     assert MetricJoin().classes(table.limit(0)).count() == 0
     assert MetricJoin().classes(spark.createDataFrame([(None, [1.0]), (None, [1.0]), (2, None)], "vec_id long, embedding array<double>")).count() == 3
 
 
+def test_repeated_rows_are_one_vector(spark):
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [0.01, 1.0]), (8, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = {r.vec: (r.n_links, r.component) for r in MetricJoin().classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {7: (0, 7), 5: (1, 5), 6: (1, 5), 8: (1, 4), 4: (1, 4)}
+
+
+def test_embedding_query_equals_brute_force(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    want = sorted((n, *x, x[1] == n) for (n, _), x in zip(rows, plain_links(rows), strict=True))
+    assert sorted(map(tuple, op3_embedding_dedup(spark, DATA).collect())) == want
+
+
 def test_plan_places_every_length():
     rng = random.Random(1)
     histogram = {rng.randrange(1, 200): rng.randrange(1, 50) for _ in range(80)} | {200: 9}
