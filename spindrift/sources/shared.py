@@ -32,12 +32,12 @@ def _path(table: DataFrame):
     return path, path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a re-read and not a recomputation. The table
-    goes with the ``scope`` that it is made in, or with the one around that if ``outer`` is set,
-    and in any case when the driver ends.
+    goes with the ``scope`` that it is made in, or with the one so many around that as ``outer``
+    says, and in any case when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
@@ -62,7 +62,7 @@ def discard(*tables: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scope() -> Iterator[None]:
-    """Tables that ``cut`` makes within are deleted at the end, but for those made with ``outer``."""
+    """Tables that ``cut`` makes within are deleted at the end, but for those made for an ``outer`` one."""
     if not hasattr(_OPEN, "scopes"):
         _OPEN.scopes = []
     made: list[DataFrame] = []
