@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, cut, discard
+from .common import arrow_rows, blocks, cut, discard, scope
 from .components import components
 
 #: Mixing constants of the MurmurHash3 finalizer.
@@ -145,6 +145,7 @@ class NearDuplicates:
 
     def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text: str = "text", block: int = 4096, block_shingles: int = 4_000_000, most_ids: int = 4_000_000):
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
+        self.miss = miss
         self.id, self.text, self.block, self.block_shingles, self.most_ids = id_col, text, block, block_shingles, most_ids
         self.hashing = Hashing(bands * rows)
         self.steps = sorted({min(n, bands * rows) for n in (32, 64, 96, bands * rows)})
@@ -167,7 +168,7 @@ class NearDuplicates:
         return arrow_rows(docs).select(F.col(self.id).cast("long").alias("doc"), text).mapInArrow(run, "doc long, n_shingles long, set_key binary, sig binary")
 
     def sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
-        """doc and shingles (sorted array of long) of the documents whose ids are in ``ids``."""
+        """doc, shingles (sorted array of long) and their number, size, of the documents whose ids are in ``ids``."""
         k, text = self.shingle, self.text
         wanted = F.broadcast(ids) if ids.count() <= self.most_ids else ids
         some = arrow_rows(docs).select(F.col(self.id).cast("long").alias("doc"), text).join(wanted, "doc", "left_semi")
@@ -175,9 +176,9 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in blocks(batches, text, 4_000_000):
                 found = [shingle_set(t, k).view(np.int64) for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(found, pa.list_(pa.int64())), pa.array(list(map(len, found)), pa.int64())], names=["doc", "shingles", "size"])
 
-        return some.mapInArrow(run, "doc long, shingles array<long>")
+        return some.mapInArrow(run, "doc long, shingles array<long>, size long")
 
     def pruned(self, pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         """The pairs (a, b) that sequential comparison of their signatures leaves."""
@@ -200,7 +201,7 @@ class NearDuplicates:
         one, two = (sets.select(F.col("doc").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-        links = cut(joined.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b"), f"{name}-links")
+        links = cut(joined.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b"), f"{name}-links", outer=1)
         discard(pairs, sets)
         return links
 
@@ -210,7 +211,9 @@ class NearDuplicates:
         keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(self.bands)])
         rows = reps.select("doc", F.explode(keys).alias("key"))
         shared = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-        return cut(rows.join(shared, "key").select("key", "doc", "n"), "bands")
+        banded = cut(rows.join(shared, "key").select("key", "doc", "n"), "bands")
+        discard(shared)
+        return banded
 
     def star_pairs(self, banded: DataFrame) -> DataFrame:
         """Each document with the leader of each of its buckets.
@@ -224,16 +227,28 @@ class NearDuplicates:
         pairs = rated.join(leaders, "key").where("doc <> leader")
         return pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
 
+    def distinct_keys(self, rows: DataFrame, *more: Column, where: str = "n > 1") -> DataFrame:
+        """One key (and its ``more`` aggregates) of each set of documents of rows (key, doc).
+
+        Near copies share many buckets with the same members, which then are compared once. Sets are
+        told apart by their size and two sums of hashes.
+        """
+        h = lambda i: F.xxhash64("doc", F.lit(i))
+        members = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h(1)).alias("x"), F.sum(h(2).cast("decimal(20,0)")).alias("s"), *more)
+        return members.where(where).groupBy("n", "x", "s").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in members.columns if c not in ("key", "n", "x", "s")])
+
     def residual_links(self, banded: DataFrame, comp: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
         """Links between the components that stars have left apart in one bucket.
 
-        Work items are pairs of blocks of a bucket. The first pass compares signatures in place and
+        Buckets of the same members count once. Work items are pairs of blocks of a bucket, so a
+        bucket of n documents makes n * n / ``block`` rows. The first pass compares signatures in place and
         returns the documents with a surviving candidate, the second brings the sets of those
         together in blocks of bounded size and counts intersections in place. Neither returns the
         pairs it tests: of the links found, an item returns a spanning forest of its components.
         """
         rows = banded.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-        mixed = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
+        mixed = self.distinct_keys(rows, F.min("comp").alias("lo"), F.max("comp").alias("hi"), where="lo < hi")
+        mixed = cut(mixed.select("key"), "mixed-keys")
         rows = rows.join(mixed, "key").join(sigs.select("doc", "sig"), "doc")
         steps, least, percent = self.steps, self.least, self.percent
 
@@ -279,11 +294,12 @@ class NearDuplicates:
         near = by_item(in_blocks(rows, F.ceil(F.col("n") / self.block)), compare, "key long, doc long, comp long")
         near = cut(near.distinct(), "near")
         sets = cut(self.sets(docs, near.select("doc").distinct()), "residual-sets")
-        whole = near.join(sets, "doc").withColumn("size", F.size("shingles"))
-        total = whole.groupBy("key").agg(F.sum("size").alias("total"))
-        blocks = F.ceil(F.col("total") / self.block_shingles)
-        links = cut(by_item(in_blocks(whole.join(total, "key"), blocks), verify, "a long, b long").distinct(), "residual-links")
-        discard(near, sets)
+        sized = near.join(sets.select("doc", "size"), "doc")
+        total = cut(self.distinct_keys(sized, F.sum("size").alias("total")).select("key", "total"), "totals")
+        # by a merge whatever its size, so that the plan is the same for small and large inputs
+        whole = near.join(total.hint("merge"), "key").join(sets.select("doc", "shingles"), "doc")
+        links = cut(by_item(in_blocks(whole, F.ceil(F.col("total") / self.block_shingles)), verify, "a long, b long").distinct(), "residual-links", outer=1)
+        discard(near, sets, total, mixed)
         return links
 
     def linked(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,39 +312,58 @@ class NearDuplicates:
         least = cut(full.groupBy("set_key").agg(F.min("doc").alias("doc")), "least")
         reps = full.join(least, ["set_key", "doc"], "left_semi").select("doc", "set_key", "sig")
         reps = cut(reps.dropDuplicates(["set_key", "doc"]), "representatives")
-        banded = self.banded(reps)
-        stars = self.pruned(self.star_pairs(banded), reps)
-        links = self.verified(stars, docs, "star")
-        links = links.unionByName(self.residual_links(banded, components(links), reps, docs))
-        discard(banded, reps)
+        with scope():
+            banded = self.banded(reps)
+            stars = self.pruned(self.star_pairs(banded), reps)
+            links = self.verified(stars, docs, "star")
+            comp = components(links)
+            links = links.unionByName(self.residual_links(banded, comp, reps, docs))
+        discard(reps)
         same = full.join(least.withColumnRenamed("doc", "rep"), "set_key").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
         return signed, links.unionByName(same)
 
-    def classes(self, docs: DataFrame) -> DataFrame:
+    def classes(self, docs: DataFrame, outer: int = 0) -> DataFrame:
         """doc, n_shingles, component and kept, one row for each row of ``docs``.
 
         ``component`` is the smallest id reachable by links; ``kept`` says whether it is the row's
-        own. A text without words links with nothing. Rows with one id are one document with several
-        texts: links of any of them join them all, and all are kept or none. A row with a null id
-        links with nothing, has no component and is kept.
+        own. A text without words or a null one links with nothing. Very long texts are read whole.
+        Rows with one id are one document with several texts: links of any of them join them all, and
+        all are kept or none. A row with a null id links with nothing, has no component and is kept.
+        Other columns, whatever their names, are left out, and without rows the result has none.
         """
-        signed, links = self.linked(docs)
-        comp = components(links).withColumnRenamed("node", "doc")
-        out = signed.select("doc", "n_shingles").join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        return out.withColumn("kept", F.coalesce(F.col("component") == F.col("doc"), F.lit(True)))
+        with scope():
+            signed, links = self.linked(docs)
+            comp = components(links).withColumnRenamed("node", "doc")
+            # rows without an id don't enter the join on it, where they would all meet in one task
+            out = signed.where("doc is not null").select("doc", "n_shingles").join(comp, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+            lost = signed.where("doc is null").select("doc", "n_shingles", F.lit(None).cast("long").alias("component"))
+            found = out.unionByName(lost).withColumn("kept", F.coalesce(F.col("component") == F.col("doc"), F.lit(True)))
+            return cut(found, "classes", outer=1 + outer)
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with one row of each class: that of the smallest id, once where it is repeated.
+        """``docs`` with one row of each class: that of the smallest id.
+
+        Rows with a null id all stay. Where an id is repeated, its rows are told apart by their
+        texts: equal ones are one, others go only if their own text has a copy. They are numbered by
+        a hash below all ids that aren't negative, so of a class with such a row that row stays.
 
         Texts aren't shuffled: the ids to drop go to the rows, by broadcast up to ``most_ids`` of
-        them and by a join beyond. Rows with a null id all stay.
+        them and by a join beyond.
         """
-        found = cut(self.classes(docs), "classes")
-        dropped = found.where(~F.col("kept")).select(F.col("doc").alias(self.id)).distinct()
-        repeated = found.where("kept and doc is not null").groupBy(F.col("doc").alias(self.id)).agg(F.count("*").alias("n")).where("n > 1").select(self.id)
         small = lambda ids: F.broadcast(ids) if ids.count() <= self.most_ids else ids
-        stays = docs.join(small(dropped), self.id, "left_anti").select(docs.columns)
-        if repeated.isEmpty():
-            return stays
-        twice = stays.join(small(repeated), self.id, "left_semi").dropDuplicates([self.id])
-        return stays.join(small(repeated), self.id, "left_anti").unionByName(twice).select(docs.columns)
+        with scope():
+            counted = docs.where(F.col(self.id).isNotNull()).groupBy(F.col(self.id).cast("long").alias("__id")).agg(F.count("*").alias("n"))
+            repeated = cut(counted.where("n > 1").select("__id", F.lit(True).alias("__again")), "repeated-ids", outer=1)
+            row = F.col(self.id).cast("long")
+            if not repeated.isEmpty():
+                marked = docs.join(small(repeated), row == F.col("__id"), "left")
+                again = F.when(F.col("__again"), -1 - F.pmod(F.xxhash64("__id", F.col(self.text), F.col(self.text).isNull()), F.lit(1 << 62)))
+                docs = marked.withColumn("__row", F.coalesce(again, row)).select(*docs.columns, "__row")
+                # equal rows first: each of them would be told to stay
+                once = docs.where("__row < 0").join(small(repeated), row == F.col("__id"), "left_semi").dropDuplicates(["__row"])
+                docs = docs.join(small(repeated), row == F.col("__id"), "left_anti").unionByName(once)
+            else:
+                docs = docs.withColumn("__row", row)
+            near = NearDuplicates(self.shingle, self.percent, self.bands, self.rows, self.miss, "__row", self.text, self.block, self.block_shingles, self.most_ids)
+            dropped = cut(near.classes(docs).where(~F.col("kept")).select(F.col("doc").alias("__row")).distinct(), "dropped", outer=1)
+        return docs.join(small(dropped), "__row", "left_anti").drop("__row")

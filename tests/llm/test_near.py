@@ -1,8 +1,9 @@
 """Near duplicates, components and packing, against brute force."""
 
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from spindrift.llm.components import components
 from spindrift.llm.minhash import NearDuplicates, least_matches, shingle_set, surviving
 from spindrift.llm.packing import Slots, WordEncoder, pack_documents, plan_packs
-from spindrift.llm.queries import op3_embedding_dedup
+from spindrift.llm.queries import op3_embedding_dedup, op6_minhash
 from spindrift.llm.vectors import MetricJoin
 
 DATA = "/root/testdata/sf0.001"
@@ -53,11 +54,52 @@ def copies(seed=5, n=60):
     return out + [" ".join(f"y{rng.randrange(5000)}" for _ in range(rng.randrange(1, 60))) for _ in range(40)] + out[:3]
 
 
+def tuples(text, k):
+    """The k-word shingles of a text, by the definition."""
+    words = re.findall("[^ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def plain_classes(texts, shingle, percent):
+    sets = [tuples(t, shingle) for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    both = Counter((j, i) for h in holders.values() for n, i in enumerate(h) for j in h[:n])
+    links = [p for p, n in both.items() if 100 * n >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    return [len(s) for s in sets], brute(range(len(texts)), links), len(links)
+
+
+@pytest.mark.parametrize("shingle, percent, bands", [(3, 85, 25), (5, 80, 40)])
+def test_recall_on_whole_documents(spark, shingle, percent, bands):
+    """Both settings on all documents of a table: the classes are those of the definition."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    sizes, comp, n = plain_classes([r.text for r in rows], shingle, percent)
+    got = {r.doc: (r.n_shingles, r.component) for r in NearDuplicates(shingle, percent, bands).classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == {r.doc_id: (sizes[i], rows[comp[i]].doc_id) for i, r in enumerate(rows)} and n > 50
+
+
+def test_minhash_query_equals_definition(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    sizes, comp, _ = plain_classes([r.text for r in rows], 3, 85)
+    want = [(r.doc_id, sizes[i], rows[comp[i]].doc_id, comp[i] == i) for i, r in enumerate(rows)]
+    assert sorted(map(tuple, op6_minhash(spark, DATA).collect())) == want
+
+
+def test_repeated_ids_are_told_apart_by_text(spark):
+    base, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    near = base.replace("a40", "zz")
+    rows = [(1, base), (5, near), (5, "nothing like it at all"), (5, "nothing like it at all"), (6, None), (6, None), (6, "x y"), (7, other), (None, base), (None, base), (-4, other + " end")]
+    kept = sorted(map(tuple, NearDuplicates().deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(5, near), (5, "nothing like it at all"), (6, None), (6, "x y"), (-4, other + " end"), (None, base), (None, base)], key=repr)
+
+
 @pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
 def test_minhash_equals_brute_force(spark, odd, shingle, percent):
     texts = copies() + [r.text for r in odd.collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [set(shingle_set(t, shingle).tolist()) for t in texts]
+    sets = [tuples(t, shingle) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     want = brute(range(len(texts)), links)
     got = NearDuplicates(shingle, percent, block=16, block_shingles=3000).classes(docs).collect()
@@ -72,7 +114,7 @@ def test_minhash_odd_rows(odd, none):
     assert all(r.component is None and r.kept for r in got.where("doc is null").collect())
     kept = near.deduplicated(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [i for i in range(13) if i != 10]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted([i for i in range(13) if i != 10] + [3])
     assert near.classes(none).count() == 0 and near.deduplicated(none).count() == 0
 
 
