@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, scope
 
 SEP = "\x00"  # between host and path in a key
 
@@ -19,55 +19,72 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+class TooLong(ValueError):
+    """A level of a cascade doesn't fit into a constant."""
+
+
 class Level:
-    """One Bloom filter of a cascade, as an array of 64-bit words."""
+    """One Bloom filter of a cascade: 64-bit words as text, a constant of the plan."""
+
+    HASHES = 4
 
-    def __init__(self, words: dict[int, int], bits: int, hashes: int, seed: int):
-        self.bits, self.hashes, self.seed = bits, hashes, seed
-        self.words = ",".join(str(words.get(i, 0)) for i in range(bits // 64))
+    def __init__(self, words: str, bits: int, seed: int):
+        self.words, self.bits, self.seed = words, bits, seed
 
-    @staticmethod
-    def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits)) for i in range(hashes)]
+    @classmethod
+    def positions(cls, key: Column, bits: int, seed: int) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits)) for i in range(cls.HASHES)]
 
     def holds(self, key: Column) -> Column:
         words, out = F.split(F.lit(self.words), ",").cast("array<bigint>"), F.lit(True)  # folded to a constant
-        for p in self.positions(key, self.bits, self.hashes, self.seed):
+        for p in self.positions(key, self.bits, self.seed):
             out &= F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
         return out
 
 
+WORDS_A_ROW = 1024
+
+
 def build_level(keys: DataFrame, n: int, seed: int, bits_per_key: int, most_bits: int) -> Level:
+    """The filter of ``n`` keys. Its words are put together on the executors, 1,024 of them in a row."""
     bits = 64
     while bits < n * bits_per_key:
         bits *= 2
     if bits > most_bits:
-        raise ValueError(f"{n} keys need {bits} bits; most_bits is {most_bits}")
-    hashes = 4
-    at = keys.select(F.explode(F.array(*Level.positions(F.col("key"), bits, hashes, seed))).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    return Level({r["w"]: r["b"] for r in words.collect()}, bits, hashes, seed)  # bits / 64 rows at most
+        raise TooLong(f"{n} keys need {bits} bits; most_bits is {most_bits}")
+    at = keys.select(F.explode(F.array(*Level.positions(F.col("key"), bits, seed))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    size = min(WORDS_A_ROW, bits // 64)
+    parts = words.groupBy((F.col("w") / size).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") % size).alias("i"), "b"))).alias("m"))
+    texts = {r["part"]: r["t"] for r in parts.select("part", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))), ",").alias("t")).collect()}
+    none = ",".join(["0"] * size)
+    return Level(",".join(texts.get(i, none) for i in range(bits // 64 // size)), bits, seed)
 
 
-def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, most_bits: int = 1 << 23) -> Callable[[Column], Column]:
+def cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, most_bits: int = 1 << 24) -> Callable[[Column], Column]:
     """An exact membership test for the keys of ``universe``.
 
     Both tables have a column ``key``. Level 1 encodes the listed keys, level 2 the keys of the
     universe that level 1 holds by mistake, level 3 the listed keys that level 2 holds by mistake,
     and so on until no mistake is left. A key is listed if the first level that doesn't hold it is
-    an even one. The levels are constants of ``most_bits`` at most each; a list too long for that
-    is an error here, and ``url_filter`` looks such lists up by joins.
+    an even one. Of the universe, only keys that level 1 holds are shuffled. The levels are constants
+    of ``most_bits`` at most each; where one would be larger, ``TooLong`` is raised.
     """
-    tagged = listed.select("key", F.lit(True).alias("is_listed")).unionByName(universe.select("key", F.lit(False).alias("is_listed")))
-    tagged = cut(tagged.where("key is not null").groupBy("key").agg(F.max("is_listed").alias("is_listed")), "keys")
+    listed = listed.select("key").where("key is not null").distinct()
     levels: list[Level] = []
-    while True:
-        held = tagged.where(F.col("is_listed") == (len(levels) % 2 == 0))
-        for level in levels:
-            held = held.where(level.holds(F.col("key")))
-        if not (n := held.count()):
-            break
-        levels.append(build_level(held, n, len(levels), bits_per_key, most_bits))
+    with scope():
+        listed = cut(listed, "listed")
+        if n := listed.count():
+            levels.append(build_level(listed, n, 0, bits_per_key, most_bits))
+            tagged = listed.select("key", F.lit(True).alias("is_listed")).unionByName(universe.where(levels[0].holds(F.col("key"))).select("key", F.lit(False).alias("is_listed")))
+            tagged = cut(tagged.groupBy("key").agg(F.max("is_listed").alias("is_listed")), "keys")
+        while levels:
+            held = tagged.where(F.col("is_listed") == (len(levels) % 2 == 0))
+            for level in levels[1:]:  # the first one holds all of them
+                held = held.where(level.holds(F.col("key")))
+            if not (n := held.count()):
+                break
+            levels.append(build_level(held, n, len(levels), bits_per_key, most_bits))
 
     def member(key: Column) -> Column:
         out = F.lit(len(levels) % 2 == 1)  # held by all of them
@@ -82,7 +99,33 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", most_bits: int = 1 << 23, most_shapes: int = 1 << 12) -> DataFrame:
+def candidate_keys(host: Column, path: Column, rules: DataFrame, most_shapes: int) -> Column | None:
+    """Keys of all rules that could fit a url: its last labels and the beginning of its path.
+
+    The rules' shapes (labels of the host, characters of the path) say how many of each. Over
+    ``most_shapes`` of them, all beginnings up to the longest rule's are taken instead.
+    """
+    labels = lambda h: F.size(F.split(h, "[.]"))
+    shapes = rules.select(labels("host").alias("n"), F.length("path").alias("p")).distinct()
+    found = [(r["n"], r["p"]) for r in shapes.limit(most_shapes + 1).collect()]
+    if not found:
+        return None
+    made = lambda n, p: F.concat(F.call_function("substring_index", host, F.lit("."), -n), F.lit(SEP), F.left(path, p))
+    if len(found) > most_shapes:
+        top = rules.agg(F.max(labels("host")).alias("n"), F.max(F.length("path")).alias("p")).first()
+        counts = F.sequence(F.lit(1), F.least(labels(host), F.lit(top["n"])))
+        lengths = F.sequence(F.lit(0), F.least(F.length(path), F.lit(top["p"])))
+        return F.array_distinct(F.flatten(F.transform(counts, lambda n: F.transform(lengths, lambda p: made(n, p)))))
+
+    def of_count(n: int) -> Column:
+        lengths = F.split(F.lit(",".join(str(p) for k, p in sorted(found) if k == n)), ",").cast("array<int>")
+        fitting = F.transform(F.filter(lengths, lambda p: p <= F.length(path)), lambda p: made(F.lit(n), p))
+        return F.when(labels(host) >= n, fitting).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of_count(n) for n in sorted({n for n, _ in found})]))
+
+
+def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", most_bits: int = 1 << 24, most_shapes: int = 1 << 12) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` has host, path and verdict (allow or block). A rule fits its host and all subdomains
@@ -90,35 +133,29 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     then host) wins, a block before an allow of the same key. Without a rule that fits, ``rule`` is
     null and the verdict is ``default``: a url that no list holds.
 
-    Every url has one candidate key for each shape of rules (labels of the host, characters of the
-    path). The universe is the distinct candidates of all pages; a cascade for each verdict tells
-    exactly which of them are listed, without a join. Lists beyond ``most_bits`` are looked up by a
-    join of the candidates instead, with the same results.
+    The universe is the candidate keys of all pages (see ``candidate_keys``); a cascade for each
+    verdict tells exactly which of them are listed, without a join. Where a level of a cascade would
+    be over ``most_bits``, that of the listed keys or that of the universe's mistakes, candidates are
+    looked up by a join instead, with the same results.
 
-    A null url, or one without ``://``, has an empty host and path and fits no rule. Rows are
-    independent, repeated rows stay, and older columns of these names are replaced.
+    A null url, or one without ``://``, has an empty host and path and fits no rule. Rules with a
+    null don't count. Very long urls are read whole; a longer path than any rule's makes no more
+    keys. Rows are independent, repeated rows and null ids stay, older columns of these names are
+    replaced, and no rows give none.
     """
-    spark = pages.sparkSession
     rules = rules.where("host is not null and path is not null and verdict is not null")
-    labels = lambda h: F.size(F.split(h, "[.]"))
-    shapes = [(r["n"], r["p"]) for r in rules.select(labels(F.col("host")).alias("n"), F.length("path").alias("p")).distinct().limit(most_shapes + 1).collect()]
-    if len(shapes) > most_shapes:
-        raise ValueError(f"rules have over {most_shapes} shapes")
     host, path = host_and_path(F.col(url))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    if not shapes:
+    keys = candidate_keys(F.col("host"), F.col("path"), rules, most_shapes)
+    if keys is None:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    table = F.from_json(F.lit("[" + ",".join(f'{{"n":{n},"p":{p}}}' for n, p in sorted(shapes)) + "]"), "array<struct<n:int,p:int>>")
-    fits = lambda h, p, s: (labels(h) >= s["n"]) & (F.length(p) >= s["p"])
-    made = lambda h, p, s: F.concat(F.call_function("substring_index", h, F.lit("."), -s["n"]), F.lit(SEP), F.left(p, s["p"]))
-    candidates = F.transform(F.filter(table, lambda s: fits(F.col("host"), F.col("path"), s)), lambda s: made(F.col("host"), F.col("path"), s))
-    pages = pages.withColumn("__keys", F.array_distinct(candidates))
+    pages = pages.withColumn("__keys", keys)
     universe = pages.select(F.explode("__keys").alias("key"))
     keyed = rules.select(F.concat("host", F.lit(SEP), "path").alias("key"), "verdict")
-    n_rules = keyed.count()
-    if n_rules * 16 > most_bits:
+    try:
+        tests = {v: cascade(keyed.where(F.col("verdict") == v), universe, most_bits=most_bits) for v in ("allow", "block")}
+    except TooLong:
         return _joined(pages, keyed, default)
-    tests = {v: cascade(keyed.where(F.col("verdict") == v), universe, most_bits=most_bits) for v in ("allow", "block")}
     found = F.transform("__keys", lambda k: F.struct((F.length(k) - 1).alias("n"), (F.instr(k, SEP) - 1).alias("h"), F.when(tests["block"](k), "block").when(tests["allow"](k), "allow").alias("v"), F.replace(k, F.lit(SEP), F.lit("")).alias("rule")))
     best = F.array_max(F.filter(found, lambda x: x["v"].isNotNull()))
     pages = pages.withColumn("__best", best)

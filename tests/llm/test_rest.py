@@ -28,11 +28,11 @@ def plain_verdict(url, rules):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-@pytest.mark.parametrize("most_bits", [1 << 23, 8])
-def test_urls_equal_plain_rules(spark, most_bits):
+@pytest.mark.parametrize("most_bits, most_shapes", [(1 << 23, 1000), (8, 1000), (1 << 23, 2), (64, 1)])
+def test_urls_equal_plain_rules(spark, most_bits, most_shapes):
     rules = RULES + [("b.org", "/", "block"), ("org", "/fr/z", "allow"), ("net", "/x", "allow"), ("net", "/x", "block")]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(URLS)], "page_id int, url string, rule string")
-    got = urls.url_filter(pages, urls.rule_table(spark, rules), most_bits=most_bits).collect()
+    got = urls.url_filter(pages, urls.rule_table(spark, rules), most_bits=most_bits, most_shapes=most_shapes).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain_verdict(u, rules) for i, u in enumerate(URLS)}
     assert len(got) == len(URLS)
     assert urls.url_filter(pages.limit(0), urls.rule_table(spark, rules)).count() == 0
@@ -44,6 +44,24 @@ def test_cascade_is_exact(spark):
     listed = keys.where("key like '%7'")
     member = urls.cascade(listed, keys, bits_per_key=3)
     assert keys.where(member(F.col("key")) != F.col("key").like("%7")).count() == 0
+    nothing = urls.cascade(keys.limit(0), keys)
+    assert keys.where(nothing(F.col("key"))).count() == 0 and keys.limit(0).where(urls.cascade(listed, keys.limit(0))(F.col("key"))).count() == 0
+
+
+def test_a_level_too_large_is_told(spark):
+    """Few listed keys, but too many mistakes of theirs in the universe."""
+    keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    with pytest.raises(urls.TooLong):
+        urls.cascade(keys.where("key like '%77'"), keys, bits_per_key=1, most_bits=512)
+
+
+def test_many_shapes(spark):
+    rules = [(f"h{i % 7}.net", "/" + "p" * (i // 7), "block" if i % 2 else "allow") for i in range(700)]
+    pages = spark.createDataFrame([(i, f"http://www.h{i % 9}.net/{'p' * (i % 130)}x") for i in range(300)], "page_id int, url string")
+    want = {i: plain_verdict(f"http://www.h{i % 9}.net/{'p' * (i % 130)}x", rules) for i in range(300)}
+    for most in (1000, 50):
+        got = urls.url_filter(pages, urls.rule_table(spark, rules), most_shapes=most).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
 
 
 MESSAGES = [
