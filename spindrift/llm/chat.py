@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, cut, discard, scope
 
 QUOTE = r"^(?:[ \t]*>)+"
 #: How a line that announces a quotation ends.
@@ -80,29 +80,75 @@ def _before(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.max(value).over(within)).join(carried, ["conv", "block"]).withColumn(name, F.coalesce(name, "carried")).drop("carried")
 
 
+def _counted(turns: DataFrame) -> DataFrame:
+    """``turns`` (one row per conv and turn, with block) with ``c``, how many turns of the conversation go up to it."""
+    within = Window.partitionBy("conv", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = turns.groupBy("conv", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return turns.withColumn("c", F.count("*").over(within)).join(shifts, ["conv", "block"]).withColumn("c", F.col("c") + F.col("shift")).drop("shift")
+
+
+def threads(turns: DataFrame) -> DataFrame:
+    """``root`` and ``depth`` of each turn (conv, turn, block, reply_to, branch; one row each).
+
+    Within a branch every message answers the one before it, so only the branches' first messages
+    point anywhere else: each is led to the branch that it answers, and these steps are doubled
+    until all have reached a root, in as many rounds as the logarithm of the deepest nesting.
+    """
+    numbered = _counted(turns)
+    numbered = _before(numbered.withColumn("opens_at", F.when(F.col("turn") == F.col("branch"), F.col("c"))), "opens_at", "earlier")
+    numbered = cut(numbered.withColumn("place", F.col("c") - F.coalesce("opens_at", "earlier")).select("conv", "turn", "reply_to", "branch", "place"), "turns")
+    openers = numbered.where("turn = branch")
+    led = openers.select("conv", F.col("branch").alias("o"), F.col("reply_to").alias("to")).where("to is not null").join(numbered.select("conv", F.col("turn").alias("to"), F.col("branch").alias("up"), (F.col("place") + 1).alias("steps")), ["conv", "to"])
+    state = led.select("conv", "o", "up", "steps").unionByName(openers.where("reply_to is null").select("conv", F.col("branch").alias("o"), F.lit(None).cast("long").alias("up"), F.lit(0).cast("long").alias("steps")))
+    state = cut(state.withColumn("root", F.when(F.col("up").isNull(), F.col("o"))), "openers")
+    while not (todo := state.where("root is null")).isEmpty():
+        above = state.select("conv", F.col("o").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("root").alias("top"))
+        moved = todo.drop("root").join(above, ["conv", "up"]).select("conv", "o", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("top").alias("root"))
+        old, state = state, cut(state.where("root is not null").unionByName(moved), "openers")
+        discard(old)
+    found = numbered.join(state.select("conv", F.col("o").alias("branch"), "steps", "root"), ["conv", "branch"])
+    return cut(found.select("conv", "turn", "root", (F.col("steps") + F.col("place")).alias("depth")), "threads", outer=1)
+
+
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message, ready to be read in reply order: by conversation, branch and turn.
+    """One row per message of the conversations, which ``in_reply_order`` sorts.
 
     Returns the three key columns, ``content`` (the message without quotations), ``n_quoted``
     (quoted lines), ``quote_depth`` (most nested level), ``linked`` (its quotation was found),
-    ``reply_to`` (the turn it answers: that of the original it quotes, else the turn before) and
+    ``reply_to`` (the turn it answers: that of the original it quotes, else the turn before),
     ``branch``: a message that answers another turn than the one before opens a branch, named by
-    its own turn, which runs until the next; the first turn opens the first.
-
-    Null texts are empty messages. Messages with one turn number share their links and branch.
-    Rows with a null conversation or turn stay, with no reply and no branch. Repeated rows stay,
-    other columns are left out, and no rows give none.
+    its own turn, which runs until the next; the first turn opens the first. ``root`` is the turn
+    that a message leads back to by answers, and ``depth`` in how many of them, so the message's
+    place in its conversation.
+
+    Null texts are empty messages; very long ones are parsed whole. Messages with one turn number
+    share their links, branch and place. Rows with a null conversation or turn stay, with no reply
+    and no branch. Repeated rows stay, other columns, whatever their names, are left out, and no
+    rows give none.
     """
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("t"))
-    links = quote_links(rows, "conv", "turn", "t")
-    lines = rows.withColumn("lines", parsed(F.col("t")))
+    full = rows.where("conv is not null and turn is not null")
+    with scope():
+        keyed = full.select("conv", "turn").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
+        keyed = _before(keyed.join(quote_links(rows, "conv", "turn", "t"), ["conv", "turn"], "left"), "turn", "previous")
+        keyed = keyed.withColumn("reply_to", F.coalesce("origin", "previous"))
+        opens = F.col("previous").isNull() | (F.col("reply_to") != F.col("previous"))
+        keyed = _before(keyed.withColumn("opened", F.when(opens, F.col("turn"))), "opened", "last_opened")
+        keyed = cut(keyed.select("conv", "turn", "block", F.col("origin").isNotNull().alias("linked"), "reply_to", F.coalesce("opened", "last_opened").alias("branch")), "replies", outer=1)
+        placed = keyed.drop("block").join(threads(keyed.drop("linked")), ["conv", "turn"])
+    lines = lambda df: df.withColumn("lines", parsed(F.col("t")))
     level = F.transform("lines", lambda x: x["level"])
-    clean = lines.select("conv", "turn", "role", content(F.col("lines")).alias("content"), F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), F.coalesce(F.array_max(level), F.lit(0)).cast("long").alias("quote_depth"))
-    keyed = clean.where("conv is not null and turn is not null").withColumn("block", F.floor(F.col("turn") / BLOCK))
-    keyed = _before(keyed.join(links, ["conv", "turn"], "left"), "turn", "previous")
-    keyed = keyed.withColumn("reply_to", F.coalesce("origin", "previous"))
-    opens = F.col("previous").isNull() | (F.col("reply_to") != F.col("previous"))
-    keyed = _before(keyed.withColumn("opened", F.when(opens, F.col("turn"))), "opened", "last_opened")
-    done = keyed.select("conv", "turn", "role", "content", "n_quoted", "quote_depth", F.col("origin").isNotNull().alias("linked"), "reply_to", F.coalesce("opened", "last_opened").alias("branch"))
-    rest = clean.where("conv is null or turn is null").select("conv", "turn", "role", "content", "n_quoted", "quote_depth", F.lit(False).alias("linked"), F.lit(None).cast("long").alias("reply_to"), F.lit(None).cast("long").alias("branch"))
-    return done.unionByName(rest).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
+    clean = [content(F.col("lines")).alias("content"), F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), F.coalesce(F.array_max(level), F.lit(0)).cast("long").alias("quote_depth")]
+    done = lines(full).select("conv", "turn", "role", *clean).join(placed, ["conv", "turn"])
+    none = [F.lit(None).cast("long").alias(c) for c in ("reply_to", "branch", "root", "depth")]
+    rest = lines(rows.where("conv is null or turn is null")).select("conv", "turn", "role", *clean, F.lit(False).alias("linked"), *none)
+    return done.select(*rest.columns).unionByName(rest).withColumnsRenamed({"conv": conv, "turn": turn, "role": role})
+
+
+def in_reply_order(chats: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """The messages of ``format_chats`` sorted by conversation, root, branch and turn, so that each
+    stands after the one it answers. A long conversation runs through several partitions."""
+    order = [conv, "root", "branch", turn]
+    return chats.repartitionByRange(*order).sortWithinPartitions(*order)

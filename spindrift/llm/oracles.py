@@ -54,7 +54,7 @@ FROM parts LEFT JOIN (SELECT DISTINCT host, path, rule, v FROM best) b USING (ho
 """
 
 OP8 = r"""
-WITH m AS (SELECT row_number() OVER () AS r, conv_id AS conv, turn, role, coalesce(text, '') AS t FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id AS conv, turn, role, coalesce(text, '') AS t FROM conversations),
 cut AS (SELECT r, conv, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT *, string_split(t, chr(10)) AS ls FROM m)),
 leveled AS (
   SELECT r, conv, turn, i, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
@@ -85,10 +85,14 @@ placed AS (
   SELECT m.r, m.conv, m.turn, m.role, origin, max(m.turn) OVER (PARTITION BY m.conv ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
   FROM m LEFT JOIN links USING (conv, turn)),
 opened AS (
-  SELECT *, coalesce(origin, previous) AS reply_to, CASE WHEN previous IS NULL OR coalesce(origin, previous) <> previous THEN turn END AS o FROM placed)
+  SELECT *, coalesce(origin, previous) AS reply_to, CASE WHEN previous IS NULL OR coalesce(origin, previous) <> previous THEN turn END AS o FROM placed),
+turns AS (SELECT DISTINCT conv, turn, reply_to FROM opened),
+led AS (
+  SELECT conv, turn, turn AS root, 0::BIGINT AS depth FROM turns WHERE reply_to IS NULL
+  UNION ALL SELECT t.conv, t.turn, led.root, led.depth + 1 FROM led JOIN turns t ON t.conv = led.conv AND t.reply_to = led.turn)
 SELECT c.conv AS conv_id, c.turn, role, content, n_quoted, quote_depth, origin IS NOT NULL AS linked, reply_to,
-  max(o) OVER (PARTITION BY c.conv ORDER BY c.turn) AS branch
-FROM opened JOIN contents c USING (r)
+  max(o) OVER (PARTITION BY c.conv ORDER BY c.turn) AS branch, root, depth
+FROM opened JOIN contents c USING (r) JOIN led ON led.conv = c.conv AND led.turn = c.turn
 """
 
 ORACLES: dict[str, str] = {"op8_chat_format": OP8, "op4_quality_rules": OP4, "op9_url_filter": OP9}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindrift.llm import urls
-from spindrift.llm.chat import format_chats
+from spindrift.llm.chat import format_chats, in_reply_order, threads
 from spindrift.llm.classifier import WIDTH, AttentionModel, classify, encode_passages, train
 from spindrift.llm.queries import RULES
 
@@ -78,6 +78,40 @@ def test_chats(spark):
         (2, 5): ("", False, None, 5), (2, 1500): ("x\ny", False, 5, 5), (2, 4000): ("z", True, 1500, 5), (None, 1): ("", False, None, None), (3, None): ("t", False, None, None),
     }
     assert format_chats(table).count() == len(MESSAGES) and format_chats(table.limit(0)).count() == 0
+    assert {(r.conv_id, r.turn): (r.root, r.depth) for r in format_chats(table).where("branch is not null").collect()} == {(1, 0): (0, 0), (1, 1): (0, 1), (1, 2): (0, 1), (1, 3): (0, 2), (1, 4): (0, 3), (2, 5): (5, 0), (2, 1500): (5, 1), (2, 4000): (5, 2)}
+
+
+def test_threads_by_walking(spark):
+    """Any tree of answers, deep and wide, in turns far apart: the place is where walking leads."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for conv in range(3):
+        previous, up = None, {}
+        for turn in sorted(rng.sample(range(9000), 300)):
+            up[turn] = previous if previous is None or rng.random() < 0.5 else rng.choice(list(up))
+            rows.append((conv, turn, up[turn], previous))
+            previous = turn
+    branch, keyed = None, []
+    for conv, turn, up, previous in rows:
+        branch = turn if previous is None or up != previous else branch
+        keyed.append((conv, turn, turn // 1024, up, branch))
+    got = {(r.conv, r.turn): (r.root, r.depth) for r in threads(spark.createDataFrame(keyed, "conv long, turn long, block long, reply_to long, branch long")).collect()}
+    ups = {(c, t): u for c, t, u, _ in rows}
+    for c, t in ups:
+        root, depth = t, 0
+        while ups[c, root] is not None:
+            root, depth = ups[c, root], depth + 1
+        assert got[c, t] == (root, depth)
+
+
+def test_reply_order(spark):
+    table = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
+    rows = in_reply_order(format_chats(table).where("branch is not null")).collect()
+    seen = set()
+    for r in rows:
+        assert r.reply_to is None or (r.conv_id, r.reply_to) in seen
+        seen.add((r.conv_id, r.turn))
 
 
 def test_chat_oracle(spark):
