@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,12 +146,12 @@ class AttentionModel:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_passages: int = 256, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_passages: int = 256, id_col: str = "doc_id", text: str = "text", label: str = "quality", prepare: Callable[[DataFrame, str], DataFrame] | None = None) -> AttentionModel:
     """Fit on at most ``most_labels`` labelled documents, the first by hash of their id.
 
     Rows whose crc32 of the id as text is divisible by 5 are held out, and so are labels other
     than 0 and 1. Several labels of one id count as their majority, several texts as the first by
-    hash. Texts of over ``most_passages`` passages (about 512 bytes each) are left out of the sample.
+    hash. ``prepare`` may change the sample's texts, given with the name of their column. Texts of over ``most_passages`` passages (about 512 bytes each) are left out of the sample.
     What reaches the driver is the sample's features, whole texts encoded on the executors:
     ``most_labels * most_passages`` rows of 16-bit numbers at most, 300 MB as set here, and about
     2 MB where texts are 2,000 bytes long.
@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_pass
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), pa.array(raw, pa.binary())], names=["id", "y", "h", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_passages * PASSAGE)
-    joined = arrow_rows(texts.join(F.broadcast(sample.select(F.col("id").cast("long").alias("id"), "y")), "id")).select("id", "y", F.xxhash64("t").alias("h"), "t")
+    joined = arrow_rows(texts.join(F.broadcast(sample.select(F.col("id").cast("long").alias("id"), "y")), "id"))  # most_labels rows
+    joined = (prepare(joined, "t") if prepare else joined).select("id", "y", F.xxhash64("t").alias("h"), "t")
     rows = joined.mapInArrow(run, "id long, y double, h long, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
     rows.sort(key=lambda r: r["id"])
     if not rows:
