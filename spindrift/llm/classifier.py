@@ -117,6 +117,20 @@ class AttentionModel:
     def score(self, texts: list[str | None]) -> np.ndarray:
         return self.forward(*encode_passages(texts))["score"] if texts else np.zeros(0)
 
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Those of the mean log loss, by parameter."""
+        f, p = self.forward(x, counts), self.p
+        h, v, u, a = f["h"], f["v"], f["u"], f["a"]
+        s = (f["score"] - y) / np.float32(len(y))
+        dz = s[:, None] * p["c"]
+        per = np.repeat(dz, counts, axis=0)
+        da = (per * h).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, f["starts"]), counts))
+        dg = de[:, None] * p["w"]
+        dv, du = dg * u * (1 - v**2), dg * v * u * (1 - u)
+        dh = (a[:, None] * per + dv @ p["V"].T + du @ p["U"].T) * (1 - h**2)
+        return {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": f["z"].T @ s, "d": np.array([s.sum()], np.float32)}
+
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.02, decay: float = 1e-3) -> AttentionModel:
         """Full-batch Adam on log loss; deterministic. With one label only, the score is constant."""
         if not len(y) or y.min() == y.max():
@@ -126,18 +140,8 @@ class AttentionModel:
         self.mean, self.scale = x.mean(axis=0, dtype=np.float64).astype(np.float32), x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         for step in range(1, epochs + 1):
-            f, p = self.forward(x, counts), self.p
-            h, v, u, a = f["h"], f["v"], f["u"], f["a"]
-            s = (f["score"] - y) / np.float32(len(y))
-            dz = s[:, None] * p["c"]
-            per = np.repeat(dz, counts, axis=0)
-            da = (per * h).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, f["starts"]), counts))
-            dg = de[:, None] * p["w"]
-            dv, du = dg * u * (1 - v**2), dg * v * u * (1 - u)
-            dh = (a[:, None] * per + dv @ p["V"].T + du @ p["U"].T) * (1 - h**2)
-            grads = {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": f["z"].T @ s, "d": np.array([s.sum()], np.float32)}
-            for k, g in grads.items():
+            p = self.p
+            for k, g in self.gradients(x, counts, y).items():
                 g = g + np.float32(decay) * p[k]
                 m = moments[k]
                 m[0] = np.float32(0.9) * m[0] + np.float32(0.1) * g

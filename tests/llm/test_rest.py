@@ -158,6 +158,85 @@ def test_labels_of_held_out_rows_are_never_read(spark):
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
+def plain_score(model, passages):
+    """The network of one document, number by number."""
+    import math
+
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    tanh, sigmoid = np.tanh, lambda x: 1 / (1 + math.exp(-x))
+    hs, es = [], []
+    for x in passages:
+        x = [min(8.0, max(-8.0, float((a - m) / s))) for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        h = [float(tanh(sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j])) for j in range(p["W"].shape[1])]
+        gate = [float(tanh(sum(h[i] * p["V"][i, j] for i in range(len(h))))) * sigmoid(sum(h[i] * p["U"][i, j] for i in range(len(h)))) for j in range(p["V"].shape[1])]
+        hs.append(h)
+        es.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+    z = [sum(e * h[j] for e, h in zip(es, hs, strict=True)) / sum(es) for j in range(len(hs[0]))]
+    return sigmoid(sum(a * b for a, b in zip(z, p["c"], strict=True)) + float(p["d"][0]))
+
+
+def small_model():
+    x, counts = encode_passages(["a b c " * 200, "x " * 700, "A!! " * 400, "mixed Text, 12. " * 90, "z"])
+    model = AttentionModel(hidden=5, gate=3, seed=3).fit(x, counts, np.array([1, 1, 0, 0, 1], np.float32), epochs=5)
+    return model, x, counts
+
+
+def test_forward_equals_plain_version():
+    model, x, counts = small_model()
+    ends = np.cumsum(counts)
+    want = [plain_score(model, x[e - c : e]) for c, e in zip(counts, ends, strict=True)]
+    assert np.allclose(model.forward(x, counts)["score"], want, atol=1e-5) and max(counts) > 2
+
+
+def test_gradients_equal_finite_differences():
+    """One step without momentum shows the gradient that ``fit`` uses."""
+    model, x, counts = small_model()
+    y = np.array([1, 0, 0, 1, 1], np.float32)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def loss():
+        s = np.clip(model.forward(x.astype(np.float64), counts)["score"], 1e-12, 1 - 1e-12)
+        return float(-(y * np.log(s) + (1 - y) * np.log(1 - s)).mean())
+
+    grads = model.gradients(x.astype(np.float64), counts, y)
+    rng = np.random.default_rng(0)
+    for k, v in model.p.items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in v.shape)
+            old, step = v[at], 1e-5
+            v[at] = old + step
+            up = loss()
+            v[at] = old - step
+            down = loss()
+            v[at] = old
+            assert abs((up - down) / (2 * step) - grads[k][at]) < 1e-6, k
+
+
+def test_scores_depend_on_the_text_alone():
+    texts = ["a b c", None, "x " * 2000, "A!! " * 400, "é" * 3000, ""]
+    x, counts = encode_passages(texts)
+    for i, t in enumerate(texts):
+        assert (encode_passages([t])[0] == x[counts[:i].sum() : counts[: i + 1].sum()]).all()
+
+
+def test_memory_for_a_very_long_text(monkeypatch):
+    import tracemalloc
+
+    text = "some words and more " * 300_000
+    tracemalloc.start()
+    AttentionModel().score([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text) + 200_000_000
+
+
+def test_texts_beyond_the_sample_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "good text here " * 40), (2, "BAD!! " * 100), (3, "x" * 200_000), (1, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    a, b = (train(d, labels, most_passages=20) for d in (docs, docs.where("doc_id <> 3")))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_gradients_lower_the_loss_and_empty_training_works(spark):
     x, counts = encode_passages(["a b c", None, "x " * 2000, "A!! " * 400])
     assert x.shape == (counts.sum(), WIDTH) and counts.min() == 1
