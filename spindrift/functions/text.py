@@ -37,8 +37,12 @@ def ngrams_of_runs(text: Column, run: str, n: int = 3) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Runs of ASCII letters and digits of either script, lower case; splitting at all else is the cheapest way to them."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9๐-๙]+"), "")
+    """Runs of ASCII letters and digits of either script, lower case; splitting at all else is the cheapest way to them.
+
+    What is no ASCII letter before it is lowered is none after it either, such as the Kelvin sign.
+    """
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9๐-๙]+", " ")
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
 def script_tokens(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import portable_hash
+from .ordering import numbered
 
 #: The question types of an item.
 TYPES = ("lookup", "penalty", "definition", "exception", "multi_hop", "unanswerable")
@@ -20,13 +21,12 @@ def stratified(pool: DataFrame, ident: str, stratum: str, n: int, seed: int = 1)
     return top.withColumn("picked", F.row_number().over(Window.orderBy("round", "stratum_order", stratum, ident)))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
-
-
 def cycled(rows: DataFrame, options: DataFrame, n_options: int) -> DataFrame:
-    """Each row (i from 0) with option number i modulo ``n_options`` (column ``o``)."""
-    return rows.withColumn("o", F.pmod(F.col("i"), F.lit(n_options))).join(F.broadcast(options), "o")  # the stated options
+    """Each row (i from 0) with option number i modulo ``n_options`` (column ``o``).
+
+    Rows or options may be as many as the corpus has; the optimizer broadcasts what it knows is small.
+    """
+    return rows.withColumn("o", F.pmod(F.col("i"), F.lit(n_options))).join(options, "o")
 
 
 def with_ids(rows: DataFrame, order: list[str], prefix: str, start: int = 1) -> DataFrame:

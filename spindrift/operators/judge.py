@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking as m
 from ..functions.text import NO_CONTEXT, REFUSALS, contains_any, portable_hash
+from ..sources.shared import cut
+from .ordering import summed_before
 
 
 def contexts(ranked: DataFrame, docs: DataFrame, k: int = 5, empty: str = NO_CONTEXT, queries: DataFrame | None = None) -> DataFrame:
@@ -74,16 +76,23 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", F.when(F.col("n") == 0, None).when(pe == 1, F.lit(1.0)).otherwise(F.try_divide(po - pe, 1 - pe)).alias("kappa"))
 
 
-def average_rank(v: str, by: list[str] | None = None) -> Column:
-    """1-based rank, the mean over ties."""
-    part = by or []
-    return F.rank().over(Window.partitionBy(*part).orderBy(v)) + (F.count("*").over(Window.partitionBy(*part, v)) - 1) / 2.0
+def average_ranks(cells: DataFrame, v: str, n: str = "c") -> DataFrame:
+    """v and rank: of each value, whose rows ``n`` counts, the 1-based rank, the mean over ties."""
+    values = cells.groupBy(v).agg(F.sum(n).alias("__n"))
+    return summed_before(values, [v], F.col("__n"), "__b").select(v, (F.col("__b") + (F.col("__n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """n and Spearman's rho: Pearson's correlation of average ranks, null where one side is constant."""
-    ranks = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(average_rank(a).alias("x"), average_rank(b).alias("y"))
-    s = ranks.agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    """n and Spearman's rho: Pearson's correlation of average ranks, null where one side is constant.
+
+    Equal pairs are counted first, and ranks are sums over distinct values.
+    """
+    full = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = cut(full.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c")), "cells")
+    ranks = cells.join(average_ranks(cells, "a").withColumnRenamed("rank", "x"), "a").join(average_ranks(cells, "b").withColumnRenamed("rank", "y"), "b")
+    c = lambda e: F.sum(F.col("c") * e)
+    x, y = F.col("x"), F.col("y")
+    s = ranks.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), c(x).alias("sx"), c(y).alias("sy"), c(x * x).alias("xx"), c(y * y).alias("yy"), c(x * y).alias("xy"))
     n = F.col("n")
     vx, vy = n * F.col("xx") - F.col("sx") * F.col("sx"), n * F.col("yy") - F.col("sy") * F.col("sy")
     return s.select("n", F.when((vx > 0) & (vy > 0), (n * F.col("xy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)).alias("rho"))

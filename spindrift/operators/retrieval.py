@@ -79,22 +79,41 @@ def dense(items: DataFrame, queries: DataFrame) -> DataFrame:
     return out
 
 
-def normalized(scored: DataFrame, name: str = "norm") -> DataFrame:
-    """Scores to 0..1 within their query; equal scores are all 0."""
+def ends_of(scored: DataFrame) -> DataFrame:
+    """query_id, lo and span of the scores of each query; a span of 0 counts as 1."""
     ends = scored.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    span = F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0))
-    return scored.join(ends, "query_id").select("query_id", "item_id", ((F.col("score") - F.col("lo")) / span).alias(name))
+    return ends.select("query_id", "lo", F.coalesce(F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(1.0)).alias("span"))
 
 
-def fused(sparse: DataFrame, dense_: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """Both rankings normalised over what each of them scored, and mixed; what one lacks counts 0."""
-    both = normalized(dense_, "d").join(normalized(sparse, "s"), ["query_id", "item_id"], "full_outer")
-    mix = alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("s", F.lit(0.0))
-    return both.select("query_id", "item_id", mix.alias("score"))
+def normalized(scored: DataFrame, name: str = "norm", ends: DataFrame | None = None) -> DataFrame:
+    """Scores to 0..1 within their query; equal scores are all 0. One row per query goes to the scores."""
+    ends = ends_of(scored) if ends is None else ends
+    return scored.join(ends, "query_id").select("query_id", "item_id", ((F.col("score") - F.col("lo")) / F.col("span")).alias(name))
 
 
-def fused_pool(sparse: DataFrame, dense_: DataFrame, alpha: float = 0.5, pool: int = POOL) -> DataFrame:
-    return top_k(fused(sparse, dense_, alpha), pool)
+def fused_pool(sparse: DataFrame, items: DataFrame, queries: DataFrame, alpha: float = 0.5, pool: int = POOL) -> DataFrame:
+    """The best ``pool`` by a mix of both rankings, each normalised over what it scored; what one lacks counts 0.
+
+    ``sparse`` has scores of the items that match, ``items`` and ``queries`` have vectors. Every query
+    meets every item, but such scores aren't shuffled: their ends are partial sums, and an item that
+    doesn't match can only be in the pool if it is among the best by vectors alone, of which each
+    partition gives its first. Items that match get their vectors' score where the two meet.
+    """
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    ends = cut(ends_of(dense(items, queries)), "dense-ends")  # a row per query
+    by_vector = normalized(dense(items, queries), "d", F.broadcast(ends))
+    best = top_k(by_vector.withColumn("score", alpha * F.col("d")), pool).select("query_id", "item_id", "d")
+    matched = normalized(sparse, "s")
+    asked = queries.select("query_id", F.col("vector").alias("q")).join(F.broadcast(ends), "query_id")
+    asked = F.broadcast(asked) if queries.count() <= QUERY_BLOCK else asked
+    met = matched.join(items, "item_id", "left").join(asked, "query_id", "left")
+    met = met.select("query_id", "item_id", "s", ((dot(F.col("q"), F.col("vector")) - F.col("lo")) / F.col("span")).alias("d"))
+    mixed = met.select("query_id", "item_id", (alpha * some(F.col("d")) + (1 - alpha) * F.col("s")).alias("score"))
+    first = top_k(mixed, pool).select("query_id", "item_id", "score")
+    # of the best by vectors, those that match are scored above, and are here with too little
+    rest = best.select("query_id", "item_id", (alpha * F.col("d")).alias("score"))
+    both = first.unionByName(rest).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+    return top_k(both, pool)
 
 
 def overlap_score(query_tokens: Column, option_tokens: Column) -> Column:
@@ -210,7 +229,7 @@ class Context:
     def hybrid_pool(self) -> DataFrame:
         """The fused pool; made once and kept in the shared folder, as several steps of an arm read it."""
         if self._pool is None:
-            self._pool = cut(fused_pool(bm25(self.docs, self.queries), dense(self.item_vectors, self.query_vectors), pool=self.pool), "pool")
+            self._pool = cut(fused_pool(bm25(self.docs, self.queries), self.item_vectors, self.query_vectors, pool=self.pool), "pool")
         return self._pool
 
     def tree_picks(self, k: int) -> DataFrame:

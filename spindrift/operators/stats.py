@@ -8,28 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import portable_hash
+from ..sources.shared import cut
+from .ordering import numbered
 
 SEED, RESAMPLES = 20260729, 10_000
 
 
+#: Values that every executor gets, so that draws meet them where they are made; more are joined.
+MOST_SENT = 4_000_000
+
+
 def bootstrap(values: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
     """n, mean, lo and hi of a column ``v`` per group: resampled means at places int(.025 B) and int(.975 B), from 0.
 
-    A resample's j-th draw is a portable hash of (seed, resample, j). Draws are made where the
-    values are and summed per resample, so the shuffle carries one partial sum per resample and
-    partition, not the draws.
+    A resample's j-th draw is a portable hash of (seed, resample, j), n * ``resamples`` of them by
+    definition. They are made by resample and summed there, so the shuffle carries one sum per
+    resample and partition.
     """
     by = by or []
-    numbered = values.select(*by, "id", "v").withColumns({"i": F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
-    draws = numbered.select(*by, F.col("i").alias("j"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.select(*by, "b", F.pmod(portable_hash(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).cast("int").alias("i"))
-    counts = draws.groupBy(*by, "b", "i").agg(F.count("*").alias("times"))
-    means = counts.join(numbered.select(*by, "i", "v", "n"), [*by, "i"]).groupBy(*by, "b").agg((F.sum(F.col("times") * F.col("v")) / F.max("n")).alias("m"))
-    order = Window.partitionBy(*by).orderBy(F.round("m", 9), "b")
+    mine = values.select(*by, "id", "v")
+    base = mine.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    points = numbered(mine, ["id"], "i", by).select(*by, F.col("i").cast("int").alias("i"), "v")
+    points = F.broadcast(points) if values.count() <= MOST_SENT else points
+    spark = values.sparkSession
+    drawn = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism * 2).select(F.col("id").alias("b"))
+    drawn = drawn.crossJoin(F.broadcast(base.where("n > 0").select(*by, "n")))  # a row per group
+    drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    drawn = drawn.select(*by, "b", "n", F.pmod(portable_hash(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).cast("int").alias("i"))
+    means = drawn.join(points, [*by, "i"]).groupBy(*by, "b").agg((F.sum("v") / F.max("n")).alias("m"))
+    order = Window.partitionBy(*by).orderBy(F.round("m", 9), "b")  # as many rows as resamples
     places = means.withColumn("r", F.row_number().over(order) - 1)
     at = lambda q: F.max(F.when(F.col("r") == int(q * resamples), F.col("m")))
     ends = places.groupBy(*by).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
-    base = values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     return base.join(ends, by) if by else base.crossJoin(ends)  # one row each
 
 
@@ -49,23 +59,31 @@ def mcnemar(pairs: DataFrame, a: str = "a", b: str = "b", by: list[str] | None =
     return wins.withColumns({"p": binomial_two_sided(F.col("a_wins"), F.col("a_wins") + F.col("b_wins")), "odds_ratio": odds})
 
 
-def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, exact: int = 13) -> DataFrame:
-    """n, m (not zero), mean and p of a sign-flip test on a column ``v``.
+def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, exact: int = 13, by: list[str] | None = None) -> DataFrame:
+    """n, m (not zero), mean and p of a sign-flip test on a column ``v``, per group of ``by``.
 
-    All 2^m flips if m is at most ``exact``, else ``resamples`` portable draws. p is the share of
-    flips whose mean is at least as far from 0, and can be 0.
+    All 2^m flips where m is at most ``exact``, else ``resamples`` draws by a portable hash of seed,
+    flip and id. p is the share of flips whose sum is at least as far from 0, and can be 0. A row
+    meets every flip where it is; sums per flip are partial before they are shuffled.
     """
-    base = differences.agg(F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("m"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
-    m = base.first()["m"]
-    rows = differences.where("v <> 0").withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
-    flips = 2**m if m <= exact else resamples
-    # a row meets every flip where it is; sums per flip are partial before they are shuffled
-    met = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(flips - 1))))
-    bit = F.call_function("shiftright", F.col("b"), F.col("i").cast("int")) if m <= exact else portable_hash(F.lit(seed), F.col("b"), F.col("i"))
+    by = by or []
+    base = differences.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("m"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
+    few = F.col("m") <= exact
+    flips = F.when(few, F.expr("shiftleft(1L, cast(m as int))")).otherwise(F.lit(resamples).cast("long"))
+    base = base.withColumn("flips", flips)
+    groups = F.broadcast(base.select(*by, "m", "total", "flips"))  # a row per group
+    rows = differences.where("v <> 0")
+    rows = rows.join(groups, by) if by else rows.crossJoin(groups)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1
+    small = rows.where(few).withColumn("i", nth).select(*by, "v", "total", "flips", F.col("i").cast("int").alias("i"), F.lit(True).alias("all"), F.col("id").cast("string").alias("id"))  # ``exact`` rows a group
+    large = rows.where(~few).select(*by, "v", "total", "flips", F.lit(0).alias("i"), F.lit(False).alias("all"), F.col("id").cast("string").alias("id"))
+    met = small.unionByName(large).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("flips") - 1)))
+    bit = F.when(F.col("all"), F.call_function("shiftright", F.col("b"), F.col("i"))).otherwise(portable_hash(F.lit(seed), F.col("b"), F.col("id")))
     sign = F.when(bit.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    sums = met.groupBy("b").agg(F.sum(sign * F.col("v")).alias("s"))
-    far = sums.crossJoin(F.broadcast(base.select("total"))).agg((F.count_if(F.abs("s") >= F.abs("total") - 1e-12) / flips).alias("p"))  # one row
-    return base.crossJoin(far).select("n", "m", "mean", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("p")).alias("p"))
+    sums = met.groupBy(*by, "b").agg(F.sum(sign * F.col("v")).alias("s"), F.first("total").alias("total"), F.first("flips").alias("flips"))
+    far = sums.groupBy(*by).agg((F.count_if(F.abs("s") >= F.abs("total") - 1e-12) / F.max("flips")).alias("p"))
+    out = base.join(far, by, "left") if by else base.crossJoin(far)  # one row
+    return out.select(*by, "n", "m", "mean", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("p")).alias("p"))
 
 
 def sign_flips(differences: DataFrame) -> DataFrame:
@@ -101,15 +119,25 @@ def four_way(outcomes: DataFrame, arms: tuple[str, str, str, str]) -> DataFrame:
     return wide.dropna(subset=list(arms))
 
 
-def contrasts(outcomes: DataFrame, pairs: list[tuple[str, str, str]], alpha: float = 0.05) -> DataFrame:
-    """name, n, delta, wins, exact p, odds ratio, adjusted p and rejection for (name, arm a, arm b); absent arms are skipped."""
+def contrasts(outcomes: DataFrame, pairs: list[tuple[str, str, str]], alpha: float = 0.05, test: str = "mcnemar", resamples: int = RESAMPLES) -> DataFrame:
+    """name, n, delta with its interval lo to hi, test and p, adjusted p and rejection for (name, arm a, arm b).
+
+    Contrasts with an absent arm are skipped, and pairs without a value on one side don't count.
+    ``test`` is mcnemar, for outcomes of 0 and 1, with wins and odds ratio, or permutation, for any
+    outcome, with both null.
+    """
     spark = outcomes.sparkSession
     family = spark.createDataFrame(pairs, "name string, arm_a string, arm_b string")
-    a = outcomes.select(F.col("arm").alias("arm_a"), "id", F.col("v").alias("a"))
-    b = outcomes.select(F.col("arm").alias("arm_b"), "id", F.col("v").alias("b"))
+    a = outcomes.where("v is not null").select(F.col("arm").alias("arm_a"), "id", F.col("v").alias("a"))
+    b = outcomes.where("v is not null").select(F.col("arm").alias("arm_b"), "id", F.col("v").alias("b"))
     rows = F.broadcast(family).join(a, "arm_a").join(b, ["arm_b", "id"])
-    size = rows.groupBy("name").agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("delta"))
-    return holm(size.join(mcnemar(rows, by=["name"]), "name"), alpha)
+    rows = cut(rows.select("name", "id", "a", "b", (F.col("a") - F.col("b")).alias("v")), "contrasts")
+    size = bootstrap(rows.select("name", "id", "v"), resamples, by=["name"]).withColumnRenamed("mean", "delta").withColumn("test", F.lit(test))
+    if test == "mcnemar":
+        tested = mcnemar(rows, by=["name"])
+    else:
+        tested = permutation(rows, resamples, by=["name"]).select("name", F.lit(None).cast("long").alias("a_wins"), F.lit(None).cast("long").alias("b_wins"), "p", F.lit(None).cast("double").alias("odds_ratio"))
+    return holm(size.join(tested, "name"), alpha)
 
 
 def fit_mixed_logistic(y: np.ndarray, x: np.ndarray, item: np.ndarray, prior: float = 2.0, rounds: int = 60, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:

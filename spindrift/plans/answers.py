@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ranking as m
 from ..functions.text import word_tokens
 from ..operators import judge as j
 from ..operators import retrieval as r
@@ -37,17 +36,16 @@ def refusal_prf(spark: SparkSession, d: str) -> DataFrame:
 
 FLAGS = """
 x AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z]*([0-9]+)', 1)) AS cited, [(doc_id % 10)::VARCHAR, '3', '1'] AS retrieved FROM documents),
-known AS (SELECT list(doc_id::VARCHAR) AS k FROM documents WHERE doc_id < 100),
-f AS (SELECT doc_id, cited, list_filter(cited, lambda c: NOT list_contains(k, c)) AS hard, list_filter(cited, lambda c: list_contains(k, c) AND NOT list_contains(retrieved, c)) AS soft FROM x, known)"""
+found AS (SELECT y.doc_id, list(c) AS k FROM (SELECT doc_id, unnest(cited) AS c FROM x) y JOIN (SELECT DISTINCT doc_id::VARCHAR AS c FROM documents) USING (c) GROUP BY y.doc_id),
+f AS (SELECT doc_id, cited, list_filter(cited, lambda c: NOT list_contains(coalesce(k, []), c)) AS hard, list_filter(cited, lambda c: list_contains(coalesce(k, []), c) AND NOT list_contains(retrieved, c)) AS soft FROM x LEFT JOIN found USING (doc_id))"""
 
 
 def flags(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of every document, judged against every document."""
     docs = table(spark, d, "documents")
-    known = docs.where("doc_id < 100").agg(F.collect_list(F.col("doc_id").cast("string")).alias("k"))  # 100 ids at most
     cited = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]*([0-9]+)"), F.lit(1)))
     retrieved = F.array((F.col("doc_id") % 10).cast("string"), F.lit("3"), F.lit("1"))
-    rows = docs.select("doc_id", cited.alias("cited"), retrieved.alias("retrieved")).crossJoin(F.broadcast(known))
-    return rows.select("doc_id", m.hallucination(F.col("cited"), F.col("k"), F.col("retrieved")).alias("h")).select("doc_id", "h.*")
+    return j.citation_flags(docs.select("doc_id", cited.alias("cited"), retrieved.alias("retrieved")), docs.select(F.col("doc_id").cast("string").alias("id")), "doc_id")
 
 
 @query(f"""
@@ -64,34 +62,6 @@ def hallucination_means(spark: SparkSession, d: str) -> DataFrame:
     return flags(spark, d).groupBy((F.col("doc_id") % 5).cast("int").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("hard_rate"), 6).alias("hard"), F.round(F.avg("soft_rate"), 6).alias("soft"))
 
 
-ALL_FLAGS = """
-x AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z]*([0-9]+)', 1)) AS cited, [(doc_id % 10)::VARCHAR, '3', '1'] AS retrieved FROM documents),
-found AS (SELECT y.doc_id, list(c) AS k FROM (SELECT doc_id, unnest(cited) AS c FROM x) y JOIN (SELECT DISTINCT doc_id::VARCHAR AS c FROM documents) USING (c) GROUP BY y.doc_id),
-f AS (SELECT doc_id, cited, list_filter(cited, lambda c: NOT list_contains(coalesce(k, []), c)) AS hard, list_filter(cited, lambda c: list_contains(coalesce(k, []), c) AND NOT list_contains(retrieved, c)) AS soft FROM x LEFT JOIN found USING (doc_id))"""
-
-
-def all_flags(spark: SparkSession, d: str) -> DataFrame:
-    """As ``flags``, but every document is known; ids are joined, so their number has no bound."""
-    docs = table(spark, d, "documents")
-    cited = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]*([0-9]+)"), F.lit(1)))
-    retrieved = F.array((F.col("doc_id") % 10).cast("string"), F.lit("3"), F.lit("1"))
-    return j.citation_flags(docs.select("doc_id", cited.alias("cited"), retrieved.alias("retrieved")), docs.select(F.col("doc_id").cast("string").alias("id")), "doc_id")
-
-
-@query(f"""
-WITH {ALL_FLAGS} SELECT doc_id, len(cited)::INT AS n_cited, len(hard)::INT AS n_hard, len(soft)::INT AS n_soft,
-  CASE WHEN len(cited) > 0 THEN round(len(hard) / len(cited), 6) ELSE 0 END AS hard_rate, CASE WHEN len(cited) > 0 THEN round(len(soft) / len(cited), 6) ELSE 0 END AS soft_rate FROM f""")
-def hallucination_flags_all(spark: SparkSession, d: str) -> DataFrame:
-    return all_flags(spark, d).select("doc_id", F.size("cited").alias("n_cited"), F.size("hard").alias("n_hard"), F.size("soft").alias("n_soft"), F.round("hard_rate", 6).alias("hard_rate"), F.round("soft_rate", 6).alias("soft_rate"))
-
-
-@query(f"""
-WITH {ALL_FLAGS} SELECT (doc_id % 5)::INT AS arm, count(*) AS n, round(avg(CASE WHEN len(cited) > 0 THEN len(hard) / len(cited) ELSE 0 END), 6) AS hard,
-  round(avg(CASE WHEN len(cited) > 0 THEN len(soft) / len(cited) ELSE 0 END), 6) AS soft FROM f GROUP BY 1""")
-def hallucination_means_all(spark: SparkSession, d: str) -> DataFrame:
-    return all_flags(spark, d).groupBy((F.col("doc_id") % 5).cast("int").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg("hard_rate"), 6).alias("hard"), F.round(F.avg("soft_rate"), 6).alias("soft"))
-
-
 @query(out(BM25 + "," + ranked_sql("top", "bm25", 3), "top JOIN documents ON doc_id = item_id GROUP BY query_id", "query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS digest"))
 def context_build(spark: SparkSession, d: str) -> DataFrame:
     docs, q = corpus(spark, d), questions(spark, d)
@@ -108,7 +78,7 @@ def context_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_join(j.context_ids(arm, gold, F.array(F.lit("77")), ranked, 2), ",").alias("ids"))
 
 
-WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[A-Za-z0-9๐-๙]+')"
+WORDS = "list_transform(regexp_extract_all(coalesce({}, ''), '[A-Za-z0-9๐-๙]+'), lambda w: lower(w))"
 
 
 @query(f"""

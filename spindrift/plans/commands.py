@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranking as m
 from ..functions import text as fn
-from ..operators import evalset, graph, hierarchy, judge, retrieval, stats
+from ..operators import evalset, graph, hierarchy, judge, ordering, retrieval, stats
 from ..operators.models import EchoGenerator, LexicalJudge
 from ..sources import io
 
@@ -19,12 +19,13 @@ RETRIEVAL_CONTRASTS = [("tree vs hybrid", "A3", "A1"), ("graph on hybrid", "A2",
 ANSWER_CONTRASTS = [("keyword vs closed", "R0", "C0"), ("dense vs keyword", "R1", "R0"), ("hybrid vs dense", "A1", "R1"), ("full vs hybrid", "A4", "A1"), ("hybrid vs closed", "A1", "C0"), ("full vs closed", "A4", "C0"), ("oracle vs closed", "C1", "C0")]
 INTERACTION = ("A1", "A2", "A3", "A4")
 BINARY = ("hit", "coverage")
+RETRIEVAL_METRICS = ("hit", "coverage", "recall")
 
 
 def ingest_articles(spark: SparkSession, csv: str, units: str, heading: str = f"{fn.SECTION_WORD} [^ ]+") -> dict[str, DataFrame]:
     """Sections with their units, the introduction, the tree, the integrity report and units without a start."""
     articles, intro = io.read_articles(spark, csv)
-    placed = articles.withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+    placed = ordering.in_file_order(articles, "pos")
     head, body = fn.split_heading(F.col("text"), heading, F.concat(F.lit(f"{fn.SECTION_WORD} "), F.col("article")))
     sections = placed.select(F.col("article").alias("section_id"), "pos", head.alias("heading"), body.alias("text"))
     full, lost = hierarchy.units_of(sections, io.read_array(spark, units, io.HIERARCHY))
@@ -95,6 +96,11 @@ def run_generation(rankings: DataFrame, docs: DataFrame, questions: DataFrame, k
     return full.withColumn("answer", (generator or EchoGenerator()).answer(judge.prompt(F.col("question"), F.col("context"))))
 
 
+def claim_rate() -> Column:
+    """The share of an answer's claims that are grounded, null without claims."""
+    return F.when(F.size("grounded") > 0, F.size(F.filter("grounded", lambda x: x)) / F.size("grounded"))
+
+
 def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited: Callable[[Column], Column] = fn.citations, model=None) -> dict[str, DataFrame]:
     """Verdicts on answers, and means per arm. References have id, reference_answer, answer_claims; known has id.
 
@@ -109,29 +115,43 @@ def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited
     flags = m.hallucination(F.col("cited"), F.coalesce("known", none), F.col("context_ids").cast("array<string>"))
     grounded = fn.padded_verdicts(model.ground(F.col("answer_claims"), F.col("answer")), F.size(F.coalesce("answer_claims", none)))
     verdicts = rows.select("id", "arm", "question_type", "answer", flags.alias("hallucination"), grounded.alias("grounded"), F.when(F.col("question_type") != "unanswerable", model.correctness(F.col("answer"), F.col("reference_answer"))).alias("score"), judge.is_refusal(F.col("answer")).alias("refused"))
-    share = F.when(F.size("grounded") > 0, F.size(F.filter("grounded", lambda x: x)) / F.size("grounded"))
+    share = claim_rate()
     means = verdicts.groupBy("arm").agg(F.count("*").alias("n"), F.avg("hallucination.hard_rate").alias("hard"), F.avg("hallucination.soft_rate").alias("soft"), F.avg(share).alias("claim_rate"), F.avg((F.col("score") >= 4).cast("int")).alias("correct"), F.avg("score").alias("score"))
     return {"verdicts": verdicts, "means": means, "refusals": judge.confusion(verdicts, F.col("question_type") == "unanswerable", F.col("refused"), ["arm"])}
 
 
-def outcomes(rankings: DataFrame, metric: str, k: int = 5) -> DataFrame:
-    """arm, id, v of a retrieval metric for items with gold."""
-    r, g = F.col("ranked"), F.col("gold")
-    value = {"hit": m.hit(r, g, k), "coverage": m.coverage(r, g, k), "recall": m.recall(r, g, k)}[metric]
-    return rankings.where(F.size("gold") > 0).select("arm", "id", value.alias("v"))
+def outcomes(rows: DataFrame, metric: str, k: int = 5) -> DataFrame:
+    """arm, id, v of a metric: of rankings for items with gold, or of verdicts as ``run_judge`` gives them.
+
+    Coverage wants gold and supporting ids, each once. A verdict without a score or a claim has no
+    value for that metric and is left out.
+    """
+    if metric in RETRIEVAL_METRICS:
+        r, g = F.col("ranked"), F.col("gold")
+        wanted = F.array_union(g, F.coalesce("supporting", F.array().cast(rows.schema["gold"].dataType)))
+        value = {"hit": m.hit(r, g, k), "coverage": m.coverage(r, wanted, k), "recall": m.recall(r, g, k)}[metric]
+        return rows.where(F.size("gold") > 0).select("arm", "id", value.alias("v"))
+    values = {"correct": (F.col("score") >= 4).cast("double"), "claim_grounding": claim_rate(), "hallucination_hard": F.col("hallucination.hard_rate"), "hallucination_soft": F.col("hallucination.soft_rate")}
+    if metric not in values:
+        raise ValueError(f"no metric named {metric!r}; there are {', '.join((*RETRIEVAL_METRICS, *values))}")
+    return rows.select("arm", "id", values[metric].alias("v")).where("v is not null")
 
 
 def analyse(values: DataFrame, metric: str, resamples: int = stats.RESAMPLES) -> dict[str, DataFrame]:
-    """Intervals per arm, the family of contrasts with Holm's correction, and the interaction with its interval."""
-    family = RETRIEVAL_CONTRASTS if metric in BINARY else ANSWER_CONTRASTS
+    """Intervals per arm, the family of contrasts with Holm's correction, and the interaction with its interval.
+
+    Hits and coverage are compared by McNemar's test, all other outcomes by sign flips. The
+    mixed-effects model is for outcomes of 0 and 1; rates have none.
+    """
+    family, test = (RETRIEVAL_CONTRASTS, "mcnemar") if metric in BINARY else (ANSWER_CONTRASTS, "permutation")
     wide = stats.four_way(values, INTERACTION)
     a1, a2, a3, a4 = (F.col(x) for x in INTERACTION)
-    return {
+    report = {
         "per_arm": stats.bootstrap(values, resamples, by=["arm"]),
-        "contrasts": stats.contrasts(values, family),
+        "contrasts": stats.contrasts(values, family, test=test, resamples=resamples),
         "interaction": stats.bootstrap(wide.select("id", ((a4 - a3) - (a2 - a1)).alias("v")), resamples),
-        "mixed_effects": stats.mixed_effects(wide, INTERACTION),
     }
+    return report | ({"mixed_effects": stats.mixed_effects(wide, INTERACTION)} if metric in (*BINARY, "correct") else {})
 
 
 def section_pools(sections: DataFrame) -> DataFrame:
@@ -153,7 +173,7 @@ def draft_tasks(sections: DataFrame, targets: dict[str, int], provisions: list[s
     pick = lambda rows, n: evalset.stratified(rows, "section_id", "stratum", n, seed)
     lookups = pick(of("lookup"), targets.get("lookup", 0))
     parts = [shape(lookups, "lookup")] + [shape(pick(of(t), targets.get(t, 0)), t) for t in ("penalty", "exception")]
-    words = evalset.numbered(of("definition").select("section_id"), ["section_id"], "o")
+    words = ordering.numbered(of("definition").select("section_id"), ["section_id"], "o")
     n = max(1, words.count())
     parts.append(shape(evalset.cycled(spark.range(targets.get("definition", 0)).select(F.col("id").alias("i")), words, n), "definition"))
     options = spark.createDataFrame(list(enumerate(provisions)), "o long, provision string")

@@ -16,7 +16,7 @@ from ..operators.hierarchy import snippets, tree_from_paths
 from ..sources.io import table
 from .registry import query
 
-TOK = "regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9๐-๙]+')"
+TOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9๐-๙]+'), lambda w: lower(w))"
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ low AS (SELECT source, lang, lang || ' :: ' || substr(string_agg(bit, ' ' ORDER
 
 
 def tok_of(c: str) -> str:
-    return f"regexp_extract_all(lower({c}), '[A-Za-z0-9๐-๙]+')"
+    return f"list_transform(regexp_extract_all({c}, '[A-Za-z0-9๐-๙]+'), lambda w: lower(w))"
 
 
 def overlap_sql(c: str) -> str:

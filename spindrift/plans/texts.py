@@ -13,7 +13,7 @@ THAI = "translate({}, '0123456789', '๐๑๒๓๔๕๖๗๘๙')"
 
 
 @query("""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z0-9๐-๙]+') AS tok FROM documents)
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9๐-๙]+'), lambda w: lower(w)) AS tok FROM documents)
 SELECT doc_id, len(tok)::INT AS n_tokens, len(list_distinct(tok))::INT AS n_distinct, md5(array_to_string(tok, ' ')) AS digest FROM t""")
 def tok_alnum(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", fn.tokenizer("word")(F.col("text")).alias("tok"))
