@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,14 +54,29 @@ def script_tokens(text: Column) -> Column:
     return F.concat(ngrams_of_runs(text, THAI_RUN), word_tokens(text))
 
 
-TOKENIZERS = {"char_ngram": script_tokens, "word": word_tokens}
+def python_tokens(spec: str):
+    """A tokenizer of a Python function ``module:function`` from a text to its tokens, such as one by a
+    dictionary; blank tokens go. It is loaded where a batch is worked on."""
+    module, _, name = spec.partition(":")
+
+    def run(texts: pd.Series) -> pd.Series:
+        call = getattr(importlib.import_module(module), name)
+        return texts.map(lambda t: [x for x in call(t) if x.strip()] if t else [])
+
+    return lambda text: F.pandas_udf(run, "array<string>")(F.coalesce(text, F.lit("")))
+
+
+#: ``pythainlp`` needs that library where tasks run.
+TOKENIZERS = {"char_ngram": script_tokens, "word": word_tokens, "pythainlp": python_tokens("pythainlp:word_tokenize")}
 
 
 def tokenizer(name: str):
-    """The tokenizer registered under ``name``."""
-    if name not in TOKENIZERS:
-        raise ValueError(f"no tokenizer named {name!r}; there are {', '.join(sorted(TOKENIZERS))}")
-    return TOKENIZERS[name]
+    """The tokenizer registered under ``name``, or that of a function ``module:function``."""
+    if name in TOKENIZERS:
+        return TOKENIZERS[name]
+    if ":" in name:
+        return python_tokens(name)
+    raise ValueError(f"no tokenizer named {name!r}; there are {', '.join(sorted(TOKENIZERS))}")
 
 
 def content(heading: Column, text: Column) -> Column:
@@ -123,7 +141,7 @@ def json_block(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)\{.*\}", 0)
 
 
-def chosen_numbers(text: Column, n_options: int, most: int) -> Column:
+def chosen_numbers(text: Column, n_options: int | Column, most: int) -> Column:
     """Option numbers in a model's answer: in range, distinct, the first ``most``."""
     found = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int"))
     return F.slice(F.array_distinct(F.filter(found, lambda i: (i >= 0) & (i < n_options))), 1, most)

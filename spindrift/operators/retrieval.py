@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from ..functions.ranking import dot
 from ..functions.text import word_tokens
 from ..sources.shared import cut
 
-POOL = 50
+POOL = int(os.environ.get("RAG_POOL", "50"))
 #: Queries that are sent to every executor; more are dealt in blocks of this many.
 QUERY_BLOCK = 10_000
 
@@ -124,19 +125,23 @@ def overlap_score(query_tokens: Column, option_tokens: Column) -> Column:
 def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Candidates (query_id, item_id) by a model's score of (query, document) text, ties by id descending.
 
-    Unknown ids are dropped. Without a model, the share of the query's terms that the document has
-    is the score.
+    Unknown ids are dropped, but candidates of which none is known stay as they are ranked. Without a
+    model, the share of the query's terms that the document has is the score.
     """
     q = queries.select("query_id", F.col("text").alias("q_text"))
-    pairs = candidates.select("query_id", "item_id").distinct().join(docs.select("item_id", "text"), "item_id").join(q, "query_id")
+    place = F.min("rank" if "rank" in candidates.columns else F.lit(0)).alias("place")
+    known = docs.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = candidates.groupBy("query_id", "item_id").agg(place).join(known, "item_id", "left").join(q, "query_id")
     if score is None:
         wanted = F.array_distinct(word_tokens(F.col("q_text")))
         share = F.size(F.array_intersect(wanted, F.array_distinct(word_tokens(F.col("text"))))) / F.greatest(F.size(wanted), F.lit(1))
     else:
         share = score(F.col("q_text"), F.col("text"))
-    scored = pairs.select("query_id", "item_id", share.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("item_id").desc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = pairs.select("query_id", "item_id", "place", F.when(F.col("text").isNotNull(), share).alias("score"))
+    lost = F.col("score").isNull()
+    order = Window.partitionBy("query_id").orderBy(lost, F.round("score", 6).desc(), F.when(lost, F.col("place")), F.col("item_id").desc())
+    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("__any", F.max(~lost).over(Window.partitionBy("query_id")))
+    return ranked.where((F.col("rank") <= k) & (~lost | ~F.col("__any"))).select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), "rank")
 
 
 def expand(seeds: DataFrame, adjacency: DataFrame, most: int = 20) -> DataFrame:
@@ -180,31 +185,34 @@ def select_options(options: DataFrame, most: int) -> DataFrame:
     return ranked.where((F.col("choice") <= most) & ((F.col("overlap") > 0) | (F.col("choice") == 1)))
 
 
-def descend(tree: DataFrame, queries: DataFrame, k: int, width: int = 5, depth: int = 5, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+def descend(tree: DataFrame, queries: DataFrame, k: int, width: int = 5, depth: int = 5, tokens: Callable[[Column], Column] = word_tokens, select: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Beam descent: from the root, every beam node gives its leaves as candidates and at most ``width``
     of its containers to the next beam; then the best k candidates.
 
     ``tree`` has node, parent (null for the root), pos (among siblings), is_leaf, display and item_id.
     Levels are joins on the parent, ``depth`` of them; nothing is collected. A level's beam, a few
-    nodes per query, is kept in the shared folder for the two steps that start from it.
+    nodes per query, is kept in the shared folder for the two steps that start from it. ``select``
+    may choose by other means than word overlap: it gets query_id, text, node, pos and display of
+    the options and gives the chosen ones with their place, ``choice``.
     """
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    children = tree.where("parent is not null").select("node", "parent", "pos", "is_leaf", "item_id", tokens(F.col("display")).alias("t"))
+    select = select or select_options
+    q = queries.select("query_id", "text", F.array_distinct(tokens(F.col("text"))).alias("q"))
+    children = tree.where("parent is not null").select("node", "parent", "pos", "is_leaf", "item_id", "display", tokens(F.col("display")).alias("t"))
     root = tree.where("parent is null").select(F.col("node"))
     beam, found = q.select("query_id").crossJoin(F.broadcast(root)).select("query_id", "node", F.array(F.lit(0)).alias("path")), None
     for level in range(depth):
         here = beam.select("query_id", F.col("node").alias("parent"), "path").join(children, "parent").join(q, "query_id")
-        here = here.select("query_id", F.col("parent"), "node", "pos", "is_leaf", "item_id", "path", overlap_score(F.col("q"), F.col("t")).alias("overlap"))
-        leaves = here.where("is_leaf").select("query_id", "item_id", "path", "pos", "overlap")
+        here = here.select("query_id", "text", F.col("parent"), "node", "pos", "is_leaf", "item_id", "display", "path", overlap_score(F.col("q"), F.col("t")).alias("overlap"))
+        leaves = here.where("is_leaf").select("query_id", "text", "item_id", "display", "path", "pos", "overlap")
         found = leaves if found is None else found.unionByName(leaves)
         if level == depth - 1:
             break
-        chosen = select_options(here.where("not is_leaf").withColumnRenamed("node", "child").withColumnRenamed("parent", "node"), width)
+        chosen = select(here.where("not is_leaf").withColumnRenamed("node", "child").withColumnRenamed("parent", "node"), width)
         beam = cut(chosen.select("query_id", F.col("child").alias("node"), F.concat("path", F.array(-F.col("overlap"), -F.col("pos"))).alias("path")).dropDuplicates(["query_id", "node"]), "beam")
     # candidates stand in the order of the descent: by depth, then by the beam's order, then among siblings
     place = Window.partitionBy("query_id").orderBy(F.size("path"), "path", "pos")
     options = found.withColumn("pos", F.row_number().over(place)).withColumn("node", F.lit(0))
-    picked = select_options(options, k)
+    picked = select(options, k)
     return picked.select("query_id", "item_id", F.col("overlap").cast("double").alias("score"), F.col("choice").alias("rank"))
 
 
@@ -218,10 +226,12 @@ def arm_id(name: str) -> str:
 
 
 class Context:
-    """What arms are made of: docs (item_id, text), queries (query_id, text), vectors, a tree and an adjacency."""
+    """What arms are made of: docs (item_id, text), queries (query_id, text), vectors, a tree and an
+    adjacency; a score of (query, document) for reranking, a ``TreeNavigator`` and a tokenizer. The
+    environment variable RAG_POOL sets the pool's size where it isn't given."""
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, tree: DataFrame | None = None, adjacency: DataFrame | None = None, pool: int = POOL, reserve: int = 1, width: int = 5, depth: int = 5, score: Callable[[Column, Column], Column] | None = None):
-        self.depth = depth
+    def __init__(self, docs: DataFrame, queries: DataFrame, item_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, tree: DataFrame | None = None, adjacency: DataFrame | None = None, pool: int = POOL, reserve: int = 1, width: int = 5, depth: int = 5, score: Callable[[Column, Column], Column] | None = None, navigator=None, tokens: Callable[[Column], Column] = word_tokens):
+        self.navigator, self.tokens, self.depth = navigator, tokens, depth
         self.docs, self.queries, self.item_vectors, self.query_vectors = docs, queries, item_vectors, query_vectors
         self.tree, self.adjacency, self.pool, self.reserve, self.width, self.score = tree, adjacency, pool, reserve, width, score
         self._pool, self._picks = None, {}
@@ -229,13 +239,14 @@ class Context:
     def hybrid_pool(self) -> DataFrame:
         """The fused pool; made once and kept in the shared folder, as several steps of an arm read it."""
         if self._pool is None:
-            self._pool = cut(fused_pool(bm25(self.docs, self.queries), self.item_vectors, self.query_vectors, pool=self.pool), "pool")
+            self._pool = cut(fused_pool(bm25(self.docs, self.queries, tokens=self.tokens), self.item_vectors, self.query_vectors, pool=self.pool), "pool")
         return self._pool
 
     def tree_picks(self, k: int) -> DataFrame:
         """The descent's picks, kept likewise."""
         if k not in self._picks:
-            self._picks[k] = cut(descend(self.tree, self.queries, k, self.width, self.depth), "picks")
+            walked = self.navigator.navigate(self.tree, self.queries, k) if self.navigator else descend(self.tree, self.queries, k, self.width, self.depth, self.tokens)
+            self._picks[k] = cut(walked, "picks")
         return self._picks[k]
 
     def reranked(self, rows: DataFrame, k: int) -> DataFrame:
@@ -246,7 +257,7 @@ def build_arm(name: str, ctx: Context, k: int = 5) -> DataFrame:
     """The ranking of an arm, as a plan. Generation-only and unknown names raise ValueError."""
     arm = arm_id(name)
     if arm == "R0":
-        return top_k(bm25(ctx.docs, ctx.queries), k)
+        return top_k(bm25(ctx.docs, ctx.queries, tokens=ctx.tokens), k)
     if arm == "R1":
         return top_k(dense(ctx.item_vectors, ctx.query_vectors), k)
     if arm == "A1":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as m
 from ..functions import text as fn
 from ..operators import evalset, graph, hierarchy, judge, ordering, retrieval, stats
-from ..operators.models import EchoGenerator, LexicalJudge
+from ..operators.models import Drafter, EchoGenerator, LexicalJudge
 from ..sources import io
 
 LEVELS = list(hierarchy.LEVELS)
@@ -49,7 +49,10 @@ def build_graph(sections: DataFrame, qualified: bool = False, dedupe: bool = Fal
     cites = graph.cites_edges(flat, "section_id", fn.citations(F.col("text"), F.col("section_id")), flat.select(F.col("section_id").alias("id")))
     tags = graph.tag_edges(flat, "section_id", fn.penalty_classes(F.col("text"))).withColumns({"src": named(F.col("src")), "dst": F.concat(F.lit("Penalty:"), "dst")})
     edges = contains.unionByName(cites.withColumns({"src": named(F.col("src")), "dst": named(F.col("dst"))}), allowMissingColumns=True).unionByName(tags, allowMissingColumns=True)
-    return {"nodes": graph.structural_nodes(flat, LEVELS[:3], "pos", qualified), "edges": edges, "counts": graph.edge_counts(edges)}
+    leaves = flat.select(named(F.col("section_id")).alias("id"), F.lit("Section").alias("label"), F.col("heading"), "section_id", "text", *LEVELS[:3])
+    penalties = tags.select(F.col("dst").alias("id"), F.lit("Penalty").alias("label"), F.regexp_extract("dst", "^Penalty:(.*)$", 1).alias("class")).distinct()
+    nodes = graph.structural_nodes(flat, LEVELS[:3], "pos", qualified).unionByName(leaves, allowMissingColumns=True).unionByName(penalties, allowMissingColumns=True)
+    return {"nodes": nodes, "edges": edges, "counts": graph.edge_counts(edges)}
 
 
 def expand_rules(sections: DataFrame, rules: DataFrame, verified_only: bool = False) -> dict[str, DataFrame]:
@@ -104,7 +107,9 @@ def claim_rate() -> Column:
 def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited: Callable[[Column], Column] = fn.citations, model=None) -> dict[str, DataFrame]:
     """Verdicts on answers, and means per arm. References have id, reference_answer, answer_claims; known has id.
 
-    Whether a cited id is known is looked up by a join, so the corpus may have any size.
+    Whether a cited id is known is looked up by a join, so the corpus may have any size. Claims are
+    held against the context of an answer (column ``context``, else the answer itself); unanswerable
+    items have neither claims nor a score, and without a reference answer there is no score.
     """
     model = model or LexicalJudge()
     none = F.array().cast("array<string>")
@@ -113,8 +118,10 @@ def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited
     there = there.groupBy("id", "arm").agg(F.collect_list("c").alias("known"))
     rows = rows.join(there, ["id", "arm"], "left").join(references, "id", "left")
     flags = m.hallucination(F.col("cited"), F.coalesce("known", none), F.col("context_ids").cast("array<string>"))
-    grounded = fn.padded_verdicts(model.ground(F.col("answer_claims"), F.col("answer")), F.size(F.coalesce("answer_claims", none)))
-    verdicts = rows.select("id", "arm", "question_type", "answer", flags.alias("hallucination"), grounded.alias("grounded"), F.when(F.col("question_type") != "unanswerable", model.correctness(F.col("answer"), F.col("reference_answer"))).alias("score"), judge.is_refusal(F.col("answer")).alias("refused"))
+    claims = F.when(F.col("question_type") == "unanswerable", none).otherwise(F.coalesce("answer_claims", none))
+    rows = rows.withColumn("answer_claims", claims)
+    grounded = fn.padded_verdicts(model.ground(F.col("answer_claims"), F.col("context" if "context" in answers.columns else "answer")), F.size("answer_claims"))
+    verdicts = rows.select("id", "arm", "question_type", "answer", flags.alias("hallucination"), grounded.alias("grounded"), F.when((F.col("question_type") != "unanswerable") & F.col("reference_answer").isNotNull(), model.correctness(F.col("answer"), F.col("reference_answer"))).alias("score"), judge.is_refusal(F.col("answer")).alias("refused"))
     share = claim_rate()
     means = verdicts.groupBy("arm").agg(F.count("*").alias("n"), F.avg("hallucination.hard_rate").alias("hard"), F.avg("hallucination.soft_rate").alias("soft"), F.avg(share).alias("claim_rate"), F.avg((F.col("score") >= 4).cast("int")).alias("correct"), F.avg("score").alias("score"))
     return {"verdicts": verdicts, "means": means, "refusals": judge.confusion(verdicts, F.col("question_type") == "unanswerable", F.col("refused"), ["arm"])}
@@ -163,8 +170,11 @@ def section_pools(sections: DataFrame) -> DataFrame:
     return sections.withColumns({"stratum": stratum, "pools": F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in pools.items()]))})
 
 
-def draft_tasks(sections: DataFrame, targets: dict[str, int], provisions: list[str], topics: list[str], floor: int = 255, seed: int = 1) -> DataFrame:
-    """question_type, gold, supporting, topic of planned items: strata dealt round-robin, pairs and topics cycled, lookups topped up."""
+def draft_tasks(sections: DataFrame, targets: dict[str, int], provisions: list[str], topics: list[str], floor: int = 255, seed: int = 1, limit: int = 0) -> DataFrame:
+    """question_type, gold, supporting, topic of planned items: strata dealt round-robin, pairs and topics cycled, lookups topped up.
+
+    With ``limit``, the first so many tasks in the order of their types, gold ids and topics.
+    """
     spark = sections.sparkSession
     pools = section_pools(sections)
     of = lambda name: pools.where(F.array_contains("pools", name))
@@ -188,7 +198,47 @@ def draft_tasks(sections: DataFrame, targets: dict[str, int], provisions: list[s
         out = out.unionByName(p)
     short = max(0, floor - out.count())
     more = pick(of("lookup").join(lookups.select("section_id"), "section_id", "left_anti"), short)
-    return out.unionByName(shape(more, "lookup"))
+    tasks = out.unionByName(shape(more, "lookup"))
+    return tasks.orderBy("question_type", "gold", "topic").limit(limit) if limit else tasks
+
+
+def draft_items(tasks: DataFrame, sections: DataFrame, drafter: Drafter, label: str, prefix: str = "item", start: int = 1) -> DataFrame:
+    """Evaluation items that a model drafts for tasks; what can't be read of its answers is left out."""
+    ids = F.transform(F.concat("gold", "supporting"), lambda x: x)
+    planned = ordering.numbered(tasks, ["question_type", "gold", "topic"], "pos")
+    parts = planned.select("pos", F.posexplode(ids).alias("n", "section_id")).join(sections.select("section_id", "heading", "text"), "section_id")
+    texts = parts.groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", fn.content(F.col("heading"), F.col("text")).alias("t")))), lambda x: x["t"]), "\n\n").alias("context"))
+    rows = planned.join(texts, "pos", "left")
+    prompt = F.concat_ws("\n", F.concat(F.lit("[Type] "), F.col("question_type")), F.concat(F.lit("[Topic] "), F.col("topic")), F.concat(F.lit("[Sections]\n"), F.coalesce("context", F.lit(fn.NO_CONTEXT))))
+    return evalset.assembled(rows.withColumn("answer", drafter.draft(prompt)), label, prefix, start)
+
+
+def audit_worksheet(answers: DataFrame, fraction: float = 0.2, seed: int = stats.SEED) -> DataFrame:
+    """A share of all answers, one at least, with empty columns for a person's judgement."""
+    rows = answers.withColumns({"__key": F.concat_ws("/", "id", "arm"), "__all": F.lit(0)})
+    picked = judge.audit_sample(rows, "__key", ["__all"], fraction, seed)
+    return picked.select("id", "arm", "question", "answer", *[F.lit("").alias(c) for c in ("human_correct_1to5", "human_correct_bool", "notes")])
+
+
+def audit_agreement(worksheet: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row: how many filled rows have a verdict, kappa of right and wrong, and rho of the scores."""
+    met = worksheet.join(verdicts.where("score is not null").select("id", "arm", "score"), ["id", "arm"])
+    said, scored = F.trim("human_correct_bool"), F.trim("human_correct_1to5")
+    flags = met.where(said.isin("0", "1")).select(said.cast("int").alias("human"), (F.col("score") >= 4).cast("int").alias("judge"))
+    scores = met.where(scored.rlike("^[0-9]+$")).select(scored.cast("int").alias("human"), F.col("score").alias("judge"))
+    return judge.kappa(flags, "human", "judge").withColumnRenamed("n", "n_binary").crossJoin(judge.spearman(scores, "human", "judge").withColumnRenamed("n", "n_scores"))  # one row each
+
+
+def chart_frames(rankings: DataFrame | None = None, verdicts: DataFrame | None = None, k: int = 5) -> dict[str, DataFrame]:
+    """What the charts show: arm, measure and value of rankings and of verdicts."""
+    long = lambda df, names: df.select("arm", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("arm", "x.measure", "x.value")
+    out = {}
+    if rankings is not None:
+        out["retrieval"] = long(score_rankings(rankings, k), ["recall", "coverage", "support_recall"])
+    if verdicts is not None:
+        means = verdicts.groupBy("arm").agg(F.avg((F.col("score") >= 4).cast("int")).alias("correct"), F.avg(claim_rate()).alias("claim_grounding"))
+        out["answers"] = long(means, ["correct", "claim_grounding"])
+    return out
 
 
 def gate(items: DataFrame, known: DataFrame | None = None) -> tuple[bool, DataFrame]:
