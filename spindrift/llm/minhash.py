@@ -241,7 +241,7 @@ class NearDuplicates:
         """Links between the components that stars have left apart in one bucket.
 
         Buckets of the same members count once. Work items are pairs of blocks of a bucket, so a
-        bucket of n documents makes n * n / ``block`` rows. The first pass compares signatures in place and
+        bucket of n documents makes n * n / ``block`` rows, or up to 16 n where that is less. The first pass compares signatures in place and
         returns the documents with a surviving candidate, the second brings the sets of those
         together in blocks of bounded size and counts intersections in place. Neither returns the
         pairs it tests: of the links found, an item returns a spanning forest of its components.
@@ -291,7 +291,9 @@ class NearDuplicates:
                     break
             return {"a": np.array([x for x, _ in out]), "b": np.array([y for _, y in out])} if out else None
 
-        near = by_item(in_blocks(rows, F.ceil(F.col("n") / self.block)), compare, "key long, doc long, comp long")
+        # up to 16 small blocks let several tasks share a large bucket, at 16 rows a document at most
+        n_blocks = F.greatest(F.ceil(F.col("n") / self.block), F.least(F.lit(16), F.ceil(F.col("n") * 8 / self.block)))
+        near = by_item(in_blocks(rows, n_blocks), compare, "key long, doc long, comp long")
         near = cut(near.distinct(), "near")
         sets = cut(self.sets(docs, near.select("doc").distinct()), "residual-sets")
         sized = near.join(sets.select("doc", "size"), "doc")
