@@ -10,16 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_rows, blocks, cut, release
 
-#: White space to Python but not to the tokenizer's pattern.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case is one letter, composed as it stands, and marks that may follow them.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]*").fullmatch
+LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,;:!?"
+LETTERS = re.compile(f"{LETTER}+").fullmatch
+UPPER = [chr(i) for i in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF))]
 LITTLE = [struct.Struct(f"<{n}I") for n in range(10)]
 _LOADED: dict = {}
 
@@ -42,39 +43,58 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Letters are one unit to the tokenizer, marks after them another. Words of such units are
-        encoded many at a time and cut where their last unit ends; others, and all where that doesn't
-        add up, are encoded singly."""
-        plain, units, rest = [], [], []
-        for w in words if self.ends.any() else ():
-            if m := PLAIN(w):
-                plain.append(w)
-                units.append(1 if m.end(1) == len(w) else 2)
-            else:
-                rest.append(w)
-        if plain:
-            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)], add_special_tokens=False)])
-            ends, last = (np.flatnonzero(self.ends[ids]) + 1) * 4, np.cumsum(units)
-            if len(ends) == last[-1]:
-                raw, at = ids.tobytes(), ends[last - 1].tolist()
-                self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
-                words = rest
-        self.known.update(zip(words, self.encode(words), strict=True))
+        self.folds = self.encode(UPPER) == self.encode([c.lower() for c in UPPER])  # letters are lowered
+
+    def learn(self, units: list[str]) -> None:
+        """Runs of letters are encoded many at a time and cut where one ends; other words, and all
+        where that doesn't add up, are encoded singly."""
+        letters = [u for u in units if LETTERS(u)] if self.ends.any() else []
+        if letters:
+            found = self.tokenizer.encode_batch_fast([" ".join(letters[i : i + 500]) for i in range(0, len(letters), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(letters):
+                raw, at = ids.tobytes(), ends.tolist()
+                self.known.update(zip(letters, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                units = [u for u in units if not LETTERS(u)]
+        self.known.update(zip(units, self.encode(units), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() if len(x) > 9 else LITTLE[len(x)].pack(*x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def block(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split() if t and not ODD_SPACE.search(t) else None for t in texts]
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and where each text's begin, with the end of the last.
+
+        Words are split and told apart in Arrow, at ASCII white space: any other belongs to a word,
+        which the library splits as it would in the text. A word of letters and marks after them is
+        two units to the tokenizer; any other word is one here.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        letters = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(letters, f"^{LETTER}+$")
+        units = pc.if_else(plain, pc.utf8_lower(letters) if self.folds else letters, words).dictionary_encode()
+        marks = np.zeros(len(words), np.int64)  # the place of a word's marks behind all units, 0 for none
+        marked = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (pc.binary_length(words).to_numpy() > pc.binary_length(letters).to_numpy()))
+        ends_in = pc.replace_substring_regex(words.take(pa.array(marked)), f"^{LETTER}+", "").dictionary_encode()
+        marks[marked] = ends_in.indices.to_numpy() + 1
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        tails = ["", *ends_in.dictionary.to_pylist()]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*(w for w in split if w)).difference(self.known))
+        new = [u for u in (*names, *tails) if u not in self.known]
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) if w is not None else self.encode([t])[0] if t else b"" for t, w in zip(texts, split, strict=True)]
+        raw = list(map(self.known.__getitem__, (*names, *tails)))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first = np.cumsum(sizes) - sizes
+        parts = np.stack([units.indices.to_numpy().astype(np.int64)[at], len(names) + marks[at]], axis=1).ravel()
+        every = sizes[parts]
+        ends = np.concatenate([[0], np.cumsum(every)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[parts] - ends[:-1], every) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return ids, ends[2 * (offsets - offsets[0])]
 
 
 def word_encoder(path: str, most: int) -> WordEncoder:
@@ -153,8 +173,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int,
         coder, end = word_encoder(tokenizer_path, most_words), np.array([end_id], "<u4").tobytes()
         for part in blocks(batches, text, block_bytes):
             owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, raw in enumerate(coder.block(part.column(text).to_pylist())):
-                raw += end
+            coded, bounds = coder.block(part.column(text))
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                raw = coded[a:b].tobytes() + end
                 n = len(raw) // 4
                 for at in range(0, n, most):
                     piece = raw[4 * at : 4 * (at + most)]

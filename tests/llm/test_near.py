@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -199,8 +200,12 @@ def test_plan_places_every_length():
 def test_words_encode_as_the_library_does(odd):
     path = P.path("word_bpe_49k.json")
     tok, coder = Tokenizer.from_file(path), WordEncoder(path, 1000)
-    texts = [r.text for r in odd.collect()] + ["A'b\x1cc  d", "é ́a", "ΑΣ ΟΔΟΣ x", "İ ẛ̣", "don't'll ÀÉ", "word, word. word"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in coder.block(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = [r.text for r in odd.collect()] + ["A'b\x1cc  d", "é ́a", "ΑΣ ΟΔΟΣ x", "İ ẛ̣", "don't'll ÀÉ", "word, word. word", " a\u00a0b \u2003 Cc\x85d ", "ÀÖØÞß àöøþß ÿ! Ÿ?!,", "e\u0301 Word,.", "\v\f\rX\t", "\u00d7\u00f7 a\u00d7b"]
+    for some in (texts, texts[3:9], texts[-6:], [], [None]):
+        ids, bounds = coder.block(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
+    ids, bounds = coder.block(pa.array(texts, pa.string()).slice(4, 5))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts[4:9]]
 
 
 def test_packing(odd, none):
