@@ -196,14 +196,15 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int,
     return arrow_rows(docs).select(id_col, text).mapInArrow(run, schema)
 
 
-def ranked(pieces: DataFrame, rows_per_group: int = 50_000, least_groups: int = 64) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], rows_per_group: int = 50_000) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps among the pieces of each length.
 
-    One length may hold most pieces, so each is dealt into groups by hash: ranks within a group
-    are shifted by the sizes of the groups before it.
+    One length may hold most pieces, so each is dealt by hash into as many groups as its number
+    needs: ranks within a group are shifted by the sizes of the groups before it.
     """
-    groups = max(least_groups, -(-pieces.count() // rows_per_group))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(groups)))
+    sizes_of = [max(1, -(-histogram.get(n, 0) // rows_per_group)) for n in range(1, max(histogram, default=0) + 1)]
+    groups = F.element_at(F.split(F.lit(",".join(map(str, sizes_of))), ",").cast("array<int>"), F.col("length").cast("int"))  # folded to a constant
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), groups))
     sizes = dealt.groupBy("length", "__group").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "__group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__shift"))
@@ -224,8 +225,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_i
     there, whose number depends on ``most`` and not on the corpus, go back to the executors, and a
     piece finds its place by its rank among the pieces of its length.
 
-    Null and empty texts are packed as their end id alone. Repeated rows and null ids are packed
-    like any others. Other columns are left out. Without rows the result has none.
+    Null and empty texts are packed as their end id alone; very long ones are encoded whole and cut
+    into pieces. Repeated rows and null ids are packed like any others; equal rows are ties whose
+    places may be exchanged. Other columns, whatever their names, are left out. Without rows the
+    result has none.
     """
     pieces = cut(cut_documents(docs, tokenizer_path, most, end_id, id_col, text, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -238,4 +241,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_i
             found = slots.place(*(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "rank")))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *map(pa.array, found)], names=schema.names)
 
-    return ranked(pieces).mapInArrow(place, schema)
+    return ranked(pieces, histogram).mapInArrow(place, schema)
