@@ -25,6 +25,8 @@ NO_CONTEXT = "(ไม่มีตัวบทประกอบ)"
 THAI_RUN = "[฀-๿]+"
 #: Longer words before their beginnings, so that an alternation takes the whole word.
 ORDINAL_CHOICE = "|".join(sorted(ORDINALS, key=len, reverse=True))
+#: The ordinal words, from the first to the tenth, that a citation within a statute may have.
+STATUTE_ORDINALS = [w for w, n in ORDINALS.items() if n <= 10]
 NUMBER = "[0-9๐-๙]+(?:/[0-9๐-๙]+)?"
 
 
@@ -112,17 +114,22 @@ def penalty_classes(text: Column) -> Column:
     return classes(text, PENALTIES)
 
 
-def citations(text: Column, own: Column | None = None, most: int = 50) -> Column:
+def citations(text: Column, own: Column | None = None, most: int = 50, words: list[str] | None = None) -> Column:
     """Ids that a text cites, distinct, in order of appearance, ranges after single citations.
 
     A number with an ordinal word is ``n/2`` and so on, unless it has a slash already. A range
-    stands for all its numbers if it ascends by under ``most``. With ``own``, that id is left out.
+    stands for all its numbers if it ascends by under ``most``; with 0, ranges have no meaning. With
+    ``own``, that id is left out. ``words`` are the ordinal words that count, all unless given.
     """
     text = F.coalesce(text, F.lit(""))
-    single = f"{SECTION_WORD}[ \\t\\r\\n]*({NUMBER})[ \\t\\r\\n]*({ORDINAL_CHOICE})?"
+    choice = ORDINAL_CHOICE if words is None else "|".join(sorted(words, key=len, reverse=True))
+    single = f"{SECTION_WORD}[ \\t\\r\\n]*({NUMBER})[ \\t\\r\\n]*({choice})?"
     suffix = F.create_map(*[F.lit(x) for pair in ORDINALS.items() for x in (pair[0], str(pair[1]))])
     numbers, words = (F.regexp_extract_all(text, F.lit(single), F.lit(i)) for i in (1, 2))
     named = F.zip_with(numbers, words, lambda n, w: F.when((w != "") & ~n.contains("/"), F.concat(to_arabic(n), F.lit("/"), F.try_element_at(suffix, w))).otherwise(to_arabic(n)))
+    if not most:
+        ids = F.array_distinct(named)
+        return F.array_remove(ids, own) if own is not None else ids
     span = f"{SECTION_WORD}[ \\t\\r\\n]*([0-9๐-๙]+)[ \\t\\r\\n]*{RANGE_WORD}[ \\t\\r\\n]*(?:{SECTION_WORD}[ \\t\\r\\n]*)?([0-9๐-๙]+)"
     low, high = (F.transform(F.regexp_extract_all(text, F.lit(span), F.lit(i)), lambda x: to_arabic(x).try_cast("int")) for i in (1, 2))
     inside = F.zip_with(low, high, lambda a, b: F.when((b > a) & (b - a < most), F.transform(F.sequence(a, F.greatest(a, b)), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>")))
@@ -130,6 +137,16 @@ def citations(text: Column, own: Column | None = None, most: int = 50) -> Column
     return F.array_remove(ids, own) if own is not None else ids
 
 
+def statute_citations(text: Column, own: Column) -> Column:
+    """What a section of a statute cites, itself left out."""
+    return citations(text, own, words=STATUTE_ORDINALS)
+
+
+def answer_citations(text: Column) -> Column:
+    """What an answer cites: single sections only."""
+    return citations(text, most=0)
+
+
 def numbers_cited(text: Column, word: str, own: Column | None = None) -> Column:
     """The plain form of citations for any language: digits after ``word``, distinct, in order."""
     ids = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{word}[ ]*([0-9]+)"), F.lit(1)))

@@ -22,15 +22,17 @@ def structural_nodes(rows: DataFrame, levels: list[str], pos: str, qualified: bo
 
 
 def contains_edges(rows: DataFrame, levels: list[str], leaf: Column, distinct: bool = False) -> DataFrame:
-    """src, dst, type of the containment chain; a missing level is skipped and ``root`` stands above the first.
+    """src, dst, type of the containment chain; a missing level is skipped.
 
-    Container edges come once per row, as they are met, or once each with ``distinct``.
+    A container without one above it has no edge, a leaf without any hangs on ``root``. Container
+    edges come once per row, as they are met, or once each with ``distinct``.
     """
     node = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c.capitalize()}:"), F.col(c).cast("string")))
     pairs = []
     for i, level in enumerate(levels):
-        above = F.coalesce(*[node(c) for c in reversed(levels[:i])], F.lit("root"))
-        pairs.append(F.when(F.col(level).isNotNull(), F.struct(above.alias("src"), node(level).alias("dst"))))
+        if i:
+            above = F.coalesce(*[node(c) for c in reversed(levels[:i])])
+            pairs.append(F.when(F.col(level).isNotNull() & above.isNotNull(), F.struct(above.alias("src"), node(level).alias("dst"))))
     pairs.append(F.struct(F.coalesce(*[node(c) for c in reversed(levels)], F.lit("root")).alias("src"), leaf.alias("dst")))
     edges = rows.select(F.explode(F.array_compact(F.array(*pairs))).alias("e")).select("e.src", "e.dst", F.lit("CONTAINS").alias("type"))
     return edges.distinct() if distinct else edges

@@ -46,7 +46,7 @@ def build_graph(sections: DataFrame, qualified: bool = False, dedupe: bool = Fal
     flat = sections.select("section_id", "pos", "heading", "text", *[F.col(f"{x}.number").alias(x) for x in LEVELS[:3]], *[F.col(f"{x}.heading").alias(f"{x}_heading") for x in LEVELS[:3]])
     named = lambda c: F.concat(F.lit("Section:"), c)
     contains = graph.contains_edges(flat, LEVELS[:3], named(F.col("section_id")), dedupe)
-    cites = graph.cites_edges(flat, "section_id", fn.citations(F.col("text"), F.col("section_id")), flat.select(F.col("section_id").alias("id")))
+    cites = graph.cites_edges(flat, "section_id", fn.statute_citations(F.col("text"), F.col("section_id")), flat.select(F.col("section_id").alias("id")))
     tags = graph.tag_edges(flat, "section_id", fn.penalty_classes(F.col("text"))).withColumns({"src": named(F.col("src")), "dst": F.concat(F.lit("Penalty:"), "dst")})
     edges = contains.unionByName(cites.withColumns({"src": named(F.col("src")), "dst": named(F.col("dst"))}), allowMissingColumns=True).unionByName(tags, allowMissingColumns=True)
     leaves = flat.select(named(F.col("section_id")).alias("id"), F.lit("Section").alias("label"), F.col("heading"), "section_id", "text", *LEVELS[:3])
@@ -104,7 +104,7 @@ def claim_rate() -> Column:
     return F.when(F.size("grounded") > 0, F.size(F.filter("grounded", lambda x: x)) / F.size("grounded"))
 
 
-def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited: Callable[[Column], Column] = fn.citations, model=None) -> dict[str, DataFrame]:
+def run_judge(answers: DataFrame, known: DataFrame, references: DataFrame, cited: Callable[[Column], Column] = fn.answer_citations, model=None) -> dict[str, DataFrame]:
     """Verdicts on answers, and means per arm. References have id, reference_answer, answer_claims; known has id.
 
     Whether a cited id is known is looked up by a join, so the corpus may have any size. Claims are

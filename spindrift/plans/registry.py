@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import answers, retrieval, sets, statistics, structure, texts  # noqa: E402, F401  they register themselves
+from . import answers, retrieval, sets, statistics, statutes, structure, texts  # noqa: E402, F401  they register themselves

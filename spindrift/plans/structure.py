@@ -95,8 +95,8 @@ def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {SECTIONS}, e AS (SELECT 'root' AS src, 'Book:' || book AS dst FROM s UNION ALL SELECT 'Book:' || book, 'Title:' || title FROM s WHERE title IS NOT NULL
-UNION ALL SELECT coalesce('Title:' || title, 'Book:' || book), 'Section:' || pos FROM s) SELECT src, dst, 'CONTAINS' AS type, count(*) AS n FROM e GROUP BY ALL""")
+WITH {SECTIONS}, e AS (SELECT 'Book:' || book AS src, 'Title:' || title AS dst FROM s WHERE title IS NOT NULL AND book IS NOT NULL
+UNION ALL SELECT coalesce('Title:' || title, 'Book:' || book, 'root'), 'Section:' || pos FROM s) SELECT src, dst, 'CONTAINS' AS type, count(*) AS n FROM e GROUP BY ALL""")
 def kg_contains(spark: SparkSession, d: str) -> DataFrame:
     return g.one_each(g.contains_edges(sections(spark, d), ["book", "title"], F.concat(F.lit("Section:"), F.col("pos").cast("string"))))
 

@@ -75,3 +75,22 @@ def test_hallucination(spark):
     assert (h.hard, h.soft, h.hard_rate, h.soft_rate) == (["999", "335/2"], [], pytest.approx(2 / 3), 0.0)
     h = one(spark, m.hallucination(ids("80"), ids("80"), F.lit(None).cast("array<string>")))
     assert (h.hard, h.soft) == ([], [])
+
+
+def test_citations_of_statutes_and_of_answers(spark):
+    """Within a statute the last two ordinal words don't count; an answer has no ranges."""
+    text = F.lit("มาตรา ๕ ทวาทศ มาตรา 6 ทวิ มาตรา 7 ถึง 9 มาตรา 10 เอกาทศ")
+    assert one(spark, fn.statute_citations(text, F.lit("8"))) == ["5", "6/2", "7", "10", "9"]
+    assert one(spark, fn.answer_citations(text)) == ["5/12", "6/2", "7", "10/11"]
+
+
+def test_words_are_told_before_they_are_lowered(spark):
+    assert one(spark, fn.word_tokens(F.lit("\u0130x \u212a9 \uff21b AbC๑"))) == ["x", "9", "b", "abc๑"]
+
+
+def test_containers_without_one_above_have_no_edge(spark):
+    from spindrift.operators.graph import contains_edges
+
+    rows = spark.createDataFrame([("1", "2", "3", "a"), (None, "2", None, "b"), (None, None, "3", "c"), (None, None, None, "d"), ("1", None, "3", "e")], "book string, title string, chapter string, s string")
+    got = sorted((r.src, r.dst) for r in contains_edges(rows, ["book", "title", "chapter"], F.col("s")).collect())
+    assert got == sorted([("Book:1", "Title:2"), ("Title:2", "Chapter:3"), ("Chapter:3", "a"), ("Title:2", "b"), ("Chapter:3", "c"), ("root", "d"), ("Book:1", "Chapter:3"), ("Chapter:3", "e")])
