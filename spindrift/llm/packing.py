@@ -196,7 +196,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, most: int, end_id: int,
     return arrow_rows(docs).select(id_col, text).mapInArrow(run, schema)
 
 
-def ranked(pieces: DataFrame, histogram: dict[int, int], rows_per_group: int = 50_000) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], rows_per_group: int = 2000) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps among the pieces of each length.
 
     One length may hold most pieces, so each is dealt by hash into as many groups as its number
