@@ -122,28 +122,39 @@ def overlap_score(query_tokens: Column, option_tokens: Column) -> Column:
     return F.size(F.filter(option_tokens, lambda t: F.array_contains(query_tokens, t)))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Candidates (query_id, item_id) by a model's score of (query, document) text, ties by id descending.
+def scored_candidates(candidates: DataFrame, queries: DataFrame, docs: DataFrame, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, item_id, place (its rank so far) and score of distinct candidates, null where the id is unknown.
 
-    Unknown ids are dropped, but candidates of which none is known stay as they are ranked. Without a
-    model, the share of the query's terms that the document has is the score.
+    The score is a model's of (query, document) text; without a model, the share of the query's terms
+    that the document has, whose terms are found once however many queries want it.
     """
-    q = queries.select("query_id", F.col("text").alias("q_text"))
     place = F.min("rank" if "rank" in candidates.columns else F.lit(0)).alias("place")
-    known = docs.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = candidates.groupBy("query_id", "item_id").agg(place).join(known, "item_id", "left").join(q, "query_id")
-    if score is None:
-        wanted = F.array_distinct(word_tokens(F.col("q_text")))
-        share = F.size(F.array_intersect(wanted, F.array_distinct(word_tokens(F.col("text"))))) / F.greatest(F.size(wanted), F.lit(1))
-    else:
-        share = score(F.col("q_text"), F.col("text"))
-    scored = pairs.select("query_id", "item_id", "place", F.when(F.col("text").isNotNull(), share).alias("score"))
+    pairs = candidates.groupBy("query_id", "item_id").agg(place)
+    q = queries.select("query_id", F.col("text").alias("q_text"))
+    if score is not None:
+        met = pairs.join(docs.select("item_id", F.coalesce("text", F.lit("")).alias("text")), "item_id", "left").join(q, "query_id")
+        return met.select("query_id", "item_id", "place", F.when(F.col("text").isNotNull(), score(F.col("q_text"), F.col("text"))).alias("score"))
+    some = docs.select("item_id", "text").join(pairs.select("item_id").distinct(), "item_id", "left_semi")
+    terms = some.select("item_id", F.array_distinct(word_tokens(F.col("text"))).alias("t"))
+    met = pairs.join(terms, "item_id", "left").join(q.select("query_id", F.array_distinct(word_tokens(F.col("q_text"))).alias("q")), "query_id")
+    share = F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1))
+    return met.select("query_id", "item_id", "place", F.when(F.col("t").isNotNull(), share).alias("score"))
+
+
+def ranked_candidates(scored: DataFrame, k: int) -> DataFrame:
+    """The best k by score, ties by id descending. Unknown ids are dropped, but candidates of which
+    none is known stay as they were ranked."""
     lost = F.col("score").isNull()
     order = Window.partitionBy("query_id").orderBy(lost, F.round("score", 6).desc(), F.when(lost, F.col("place")), F.col("item_id").desc())
     ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("__any", F.max(~lost).over(Window.partitionBy("query_id")))
     return ranked.where((F.col("rank") <= k) & (~lost | ~F.col("__any"))).select("query_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), "rank")
 
 
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Candidates (query_id, item_id, and rank if they have one) in the order of ``scored_candidates``."""
+    return ranked_candidates(scored_candidates(candidates, queries, docs, score), k)
+
+
 def expand(seeds: DataFrame, adjacency: DataFrame, most: int = 20) -> DataFrame:
     """query_id, item_id, rank: seeds in order, then each seed's first ``most`` neighbours; first place counts.
 
@@ -234,12 +245,18 @@ class Context:
         self.navigator, self.tokens, self.depth = navigator, tokens, depth
         self.docs, self.queries, self.item_vectors, self.query_vectors = docs, queries, item_vectors, query_vectors
         self.tree, self.adjacency, self.pool, self.reserve, self.width, self.score = tree, adjacency, pool, reserve, width, score
-        self._pool, self._picks = None, {}
+        self._sparse, self._pool, self._picks = None, None, {}
+
+    def sparse(self) -> DataFrame:
+        """BM25 scores of all matches, kept likewise: the ranking, the pool and its ends read them."""
+        if self._sparse is None:
+            self._sparse = cut(bm25(self.docs, self.queries, tokens=self.tokens), "sparse")
+        return self._sparse
 
     def hybrid_pool(self) -> DataFrame:
         """The fused pool; made once and kept in the shared folder, as several steps of an arm read it."""
         if self._pool is None:
-            self._pool = cut(fused_pool(bm25(self.docs, self.queries, tokens=self.tokens), self.item_vectors, self.query_vectors, pool=self.pool), "pool")
+            self._pool = cut(fused_pool(self.sparse(), self.item_vectors, self.query_vectors, pool=self.pool), "pool")
         return self._pool
 
     def tree_picks(self, k: int) -> DataFrame:
@@ -257,7 +274,7 @@ def build_arm(name: str, ctx: Context, k: int = 5) -> DataFrame:
     """The ranking of an arm, as a plan. Generation-only and unknown names raise ValueError."""
     arm = arm_id(name)
     if arm == "R0":
-        return top_k(bm25(ctx.docs, ctx.queries, tokens=ctx.tokens), k)
+        return top_k(ctx.sparse(), k)
     if arm == "R1":
         return top_k(dense(ctx.item_vectors, ctx.query_vectors), k)
     if arm == "A1":
@@ -270,9 +287,12 @@ def build_arm(name: str, ctx: Context, k: int = 5) -> DataFrame:
         return ctx.reranked(expand(ctx.tree_picks(ctx.pool), ctx.adjacency), k)
     if arm in ("A5", "A4B"):
         seed = cut(additive(ctx.hybrid_pool(), ctx.tree_picks(ctx.pool)), "seed")
-        primary = cut(ctx.reranked(seed, 2 * ctx.pool), "primary")
         if arm == "A5":
-            return primary.where(F.col("rank") <= k)
-        new = expand(seed, ctx.adjacency).join(seed.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-        return reserved(primary, ctx.reranked(new, k), k, ctx.reserve)
+            return ctx.reranked(seed, k)
+        # the expansion holds the seed; both are scored once and told apart afterwards
+        scored = scored_candidates(expand(seed, ctx.adjacency), ctx.queries, ctx.docs, ctx.score)
+        known = seed.select("query_id", "item_id", F.lit(True).alias("__seed"))
+        scored = cut(scored.join(known, ["query_id", "item_id"], "left"), "scored")
+        primary = ranked_candidates(scored.where("__seed"), 2 * ctx.pool)
+        return reserved(primary, ranked_candidates(scored.where("__seed is null"), k), k, ctx.reserve)
     raise ValueError(f"no retriever for arm {name!r}")

@@ -14,6 +14,7 @@ from ..operators import retrieval as r
 from ..operators.graph import symmetric
 from ..operators.hierarchy import snippets, tree_from_paths
 from ..sources.io import table
+from ..sources.shared import cut
 from .registry import query
 
 TOK = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9๐-๙]+'), lambda w: lower(w))"
@@ -28,15 +29,18 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, item_id: the benchmark, a stated query set, is sent to the documents."""
-    docs, q = corpus(spark, d), questions(spark, d).withColumnRenamed("text", "q")
-    return docs.join(F.broadcast(q), F.col("text").contains(F.col("q"))).select("query_id", "item_id")
+    """query_id, item_id: the benchmark, a stated query set, is sent to the documents in checked blocks."""
+    docs, out = corpus(spark, d), None
+    for block in r.query_blocks(questions(spark, d).withColumnRenamed("text", "q")):
+        part = docs.join(F.broadcast(block), F.col("text").contains(F.col("q"))).select("query_id", "item_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings")
     items = v.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    asked = v.join(F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
+    asked = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     return items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -134,14 +138,21 @@ def minmax_norm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.normalized(r.dense(*vectors(spark, d))), "norm")
 
 
+def flat_context(spark: SparkSession, d: str) -> r.Context:
+    """For arms without a tree or a graph."""
+    items, asked = vectors(spark, d)
+    return r.Context(corpus(spark, d), questions(spark, d), items, asked)
+
+
 def context(spark: SparkSession, d: str) -> r.Context:
     docs, (items, asked) = corpus(spark, d), vectors(spark, d)
-    return r.Context(docs, questions(spark, d), items, asked, doc_tree(spark, d), doc_graph(spark, d), depth=3)
+    tree = cut(doc_tree(spark, d), "doc-tree")  # each level of a descent reads it
+    return r.Context(docs, questions(spark, d), items, asked, tree, doc_graph(spark, d), depth=3)
 
 
 @query(out(FUSED, "pool"))
 def hybrid_fused_pool(spark: SparkSession, d: str) -> DataFrame:
-    return listed(context(spark, d).hybrid_pool())
+    return listed(flat_context(spark, d).hybrid_pool())
 
 
 @query(out(BM25 + "," + SHARES + "," + ranked_sql("first", "bm25", 50) + "," + rerank_sql("top", "first", 5), "top"))
@@ -152,7 +163,7 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 @query(out(FUSED + "," + SHARES + "," + rerank_sql("top", "pool", 5), "top"))
 def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return listed(r.build_arm("hybrid", context(spark, d)))
+    return listed(r.build_arm("hybrid", flat_context(spark, d)))
 
 
 # --- trees and graphs over documents: source, then language; neighbours share source, language and id / 8
@@ -333,7 +344,7 @@ MEANS = "count(*) AS n, round(avg(hits / n), 6) AS recall, round(avg((hits > 0):
 
 def arm_items(spark: SparkSession, d: str) -> DataFrame:
     """arm, query_id, kind and the metrics of every answerable item in three arms."""
-    ctx, gold = context(spark, d), gold_pairs(spark, d)
+    ctx, gold = flat_context(spark, d), cut(gold_pairs(spark, d), "gold")
     kinds = questions(spark, d).select("query_id", (F.length("text") % 3).alias("kind"))
     x, g = F.col("ranked"), F.col("gold")
     parts = [wide(r.build_arm(a, ctx), gold).withColumn("arm", F.lit(a)) for a in ("R0", "R1", "A1")]
