@@ -59,7 +59,9 @@ def last_known(rows: DataFrame, order: list[str], value: str, by: list[str]) ->
     place = F.struct(*order)
     tops = dealt.groupBy(RANGE, *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("__top"))
     carried = tops.select(RANGE, *by, F.last("__top", ignorenulls=True).over(Window.partitionBy(*by).orderBy(RANGE).rowsBetween(*BEFORE)).alias("__carried"))  # a row per range and group
-    held = dealt.withColumn(value, F.last(value, ignorenulls=True).over(upto)).join(carried, [RANGE, *by])
+    held = dealt.withColumn(value, F.last(value, ignorenulls=True).over(upto))
+    carried = carried.withColumnsRenamed({c: f"__by_{c}" for c in (RANGE, *by)})
+    held = held.join(carried, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in (RANGE, *by)])
     return held.withColumn(value, F.coalesce(value, "__carried")).select(*rows.columns)
 
 

@@ -270,9 +270,16 @@ class Context:
         return rerank(rows, self.queries, self.docs, k, self.score)
 
 
+#: Retrievers of one's own by name: each makes a ranking of a context and k.
+RETRIEVERS: dict[str, Callable[[Context, int], DataFrame]] = {}
+
+
 def build_arm(name: str, ctx: Context, k: int = 5) -> DataFrame:
-    """The ranking of an arm, as a plan. Generation-only and unknown names raise ValueError."""
+    """The ranking of an arm, as a plan: one of ``ARMS`` or of ``RETRIEVERS``. Generation-only and
+    unknown names raise ValueError."""
     arm = arm_id(name)
+    if arm in RETRIEVERS:
+        return RETRIEVERS[arm](ctx, k)
     if arm == "R0":
         return top_k(ctx.sparse(), k)
     if arm == "R1":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEVELS = ("book", "title", "chapter", "part")
 UNIT = "struct<number:string,heading:string>"
@@ -58,6 +59,31 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_tree(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
+    """A nested tree as an adjacency table: node, parent, depth, pos (among siblings), is_leaf, display, item_id.
+
+    A file holds one node with ``nodes`` below it, ``depth`` levels at most; display is the heading,
+    or heading and text of a section.
+    """
+    fields = "node_type string, number string, heading string, text string, node_id string, section_id string, node string, display string"
+    kind = f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>"
+    for _ in range(depth):
+        kind = f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))},nodes:array<{kind}>>"
+    level = spark.read.option("multiLine", True).schema(T.StructType.fromDDL(f"root {kind}")["root"].dataType).json(path)
+    here = level.select(F.struct("*").alias("x"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("pos"))
+    out = None
+    for at in range(depth + 1):
+        x = F.col("x")
+        name = F.coalesce(x["node_id"], x["node"], F.when(F.col("parent").isNull(), "root"), F.concat("parent", F.lit("."), F.col("pos").cast("string")))
+        here = here.withColumn("name", name)
+        shown = F.coalesce(x["display"], F.concat_ws(" ", x["heading"], F.when(x["section_id"].isNotNull(), x["text"])))
+        part = here.select(F.col("name").alias("node"), "parent", F.lit(at).alias("depth"), "pos", x["section_id"].isNotNull().alias("is_leaf"), shown.alias("display"), x["section_id"].alias("item_id"))
+        out = part if out is None else out.unionByName(part)
+        if at < depth:
+            here = here.select(F.posexplode(x["nodes"]).alias("pos", "x"), F.col("name").alias("parent"))
+    return out
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULES).option("multiLine", True).json(path).select(F.posexplode("rules").alias("rule_pos", "r")).select("rule_pos", "r.*")
 

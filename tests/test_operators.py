@@ -322,3 +322,31 @@ def test_model_slots(spark):
     assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1)
     assert spark.range(1).select(models.LexicalJudge().ground(F.array(F.lit("a c"), F.lit("z")), F.lit("a b c"))).first()[0] == [True, False]
     assert spark.range(1).select(retrieval.overlap_score(word_tokens(F.lit("a b")), word_tokens(F.lit("a a c")))).first()[0] == 2
+
+
+def test_nested_trees_are_read(spark, tmp_path):
+    leaf = {"node_type": "section", "number": "7", "heading": "H", "text": "t", "node_id": "B1.S7", "section_id": "7", "nodes": []}
+    tree = {"node_type": "root", "heading": "Act", "nodes": [{"node_type": "book", "number": "1", "heading": "One", "node_id": "B1", "nodes": [leaf, leaf | {"node_id": None, "section_id": "8"}]}, leaf | {"node_id": "S9", "section_id": "9"}]}
+    (tmp_path / "tree.json").write_text(json.dumps(tree, indent=1))
+    got = [(r.node, r.parent, r.depth, r.pos, r.is_leaf, r.display, r.item_id) for r in io.read_tree(spark, str(tmp_path / "tree.json")).orderBy("depth", "pos").collect()]
+    assert got == [("root", None, 0, 0, False, "Act", None), ("B1", "root", 1, 0, False, "One", None), ("S9", "root", 1, 1, True, "H t", "9"), ("B1.S7", "B1", 2, 0, True, "H t", "7"), ("B1.1", "B1", 2, 1, True, "H t", "8")]
+
+
+def test_retrievers_of_ones_own(spark, monkeypatch):
+    monkeypatch.setitem(retrieval.RETRIEVERS, "first", lambda ctx, k: ctx.queries.select("query_id", F.lit("1").alias("item_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank")))
+    ctx = retrieval.Context(spark.createDataFrame([("1", "x")], "item_id string, text string"), spark.createDataFrame([("a", "x")], "query_id string, text string"))
+    assert retrieval.build_arm("first", ctx).first().item_id == "1"
+
+
+def test_spans_by_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, 2, 3, None]), rng.choice([None, *range(0, 120)])) for i in range(90)]
+    want = {}
+    for u, rank, p0 in rows:
+        if p0 is not None:
+            later = [p for _, r, p in rows if p is not None and r is not None and rank is not None and p > p0 and r <= rank]
+            want[u] = min(later, default=130) - 1
+    got = hierarchy.unit_spans(spark.createDataFrame(rows, "unit int, level_rank int, p0 long").repartition(5), 130).collect()
+    assert {r.unit: r.p1 for r in got} == want
