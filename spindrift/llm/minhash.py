@@ -291,16 +291,16 @@ class NearDuplicates:
                     break
             return {"a": np.array([x for x, _ in out]), "b": np.array([y for _, y in out])} if out else None
 
-        # up to 16 small blocks let several tasks share a large bucket, at 16 rows a document at most
-        n_blocks = F.greatest(F.ceil(F.col("n") / self.block), F.least(F.lit(16), F.ceil(F.col("n") * 8 / self.block)))
-        near = by_item(in_blocks(rows, n_blocks), compare, "key long, doc long, comp long")
+        # up to 16 small blocks let many tasks share a large bucket, at 16 rows a document at most
+        shared = F.least(F.lit(16), F.ceil(F.col("n") * 32 / self.block))
+        near = by_item(in_blocks(rows, F.greatest(F.ceil(F.col("n") / self.block), shared)), compare, "key long, doc long, comp long")
         near = cut(near.distinct(), "near")
         sets = cut(self.sets(docs, near.select("doc").distinct()), "residual-sets")
         sized = near.join(sets.select("doc", "size"), "doc")
-        total = cut(self.distinct_keys(sized, F.sum("size").alias("total")).select("key", "total"), "totals")
+        total = cut(self.distinct_keys(sized, F.sum("size").alias("total")).select("key", "total", "n"), "totals")
         # by a merge whatever its size, so that the plan is the same for small and large inputs
         whole = near.join(total.hint("merge"), "key").join(sets.select("doc", "shingles"), "doc")
-        links = cut(by_item(in_blocks(whole, F.ceil(F.col("total") / self.block_shingles)), verify, "a long, b long").distinct(), "residual-links", outer=1)
+        links = cut(by_item(in_blocks(whole, F.greatest(F.ceil(F.col("total") / self.block_shingles), shared)), verify, "a long, b long").distinct(), "residual-links", outer=1)
         discard(near, sets, total, mixed)
         return links
 
