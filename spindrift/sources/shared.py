@@ -27,9 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/spindrift-shared"
 
 
-def _path(table: DataFrame):
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.shared_path)
-    return path, path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration())
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
+    made, system = _at(spark, path)
+    system.mkdirs(made)
+    system.deleteOnExit(made)
+    return path
 
 
 def cut(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
@@ -40,12 +49,10 @@ def cut(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
     says, and in any case when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_place(spark, name)
+    df.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
-    made, system = _path(out)
-    system.deleteOnExit(made)
     scopes = getattr(_OPEN, "scopes", [])
     if len(scopes) > outer:
         scopes[-1 - outer].append(out)
@@ -55,7 +62,7 @@ def cut(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for t in tables:
-        path, system = _path(t)
+        path, system = _at(t.sparkSession, t.shared_path)
         system.delete(path, True)
         system.cancelDeleteOnExit(path)
 

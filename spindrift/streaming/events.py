@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import new_place
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -42,7 +40,7 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """What a stream makes of all input there is, read back from the shared checkpoint folder."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/spindrift-stream-{uuid.uuid4().hex}"
+    place = new_place(spark, "stream")
     out = f"{place}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
