@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,35 +58,48 @@ def _features(ahead: np.ndarray, left: np.ndarray, owner: np.ndarray, n: int) ->
     return np.concatenate([classes, coarse, np.sqrt((fine**2).sum(axis=1))[:, None], fine.max(axis=1)[:, None], repeats(data, owner, n)[:, None]], axis=1).astype(np.float32)
 
 
-def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of every text, and the number of passages of each text.
+class Passages:
+    """The passages of texts: each text is cut into equal ones of about 512 bytes, one at least.
 
-    A text is cut into equal passages of about 512 bytes, one at least. Features: shares of byte
-    classes, shares of hashed character triples, the evenness of those, the share of words that
-    repeat the word before, and lengths. Texts don't influence each other. The result takes about
-    1.2 times the bytes of the texts; what is needed on the way is bounded by ``AT_ONCE`` passages.
+    ``counts`` holds the number of each text's passages. Nulls are empty texts. The bytes of an Arrow
+    column are not copied, and features are made of ``AT_ONCE`` passages at a time.
     """
-    raw = [(t or "").encode() for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    counts = np.maximum(1, np.rint(sizes / PASSAGE).astype(np.int64))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    n = int(counts.sum())
-    doc = np.repeat(np.arange(len(raw)), counts)
-    nth = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = first[doc] + nth * sizes[doc] // counts[doc]
-    ends = first[doc] + (nth + 1) * sizes[doc] // counts[doc]
-    lengths, last = ends - starts, first + sizes
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    del raw
-    out = np.zeros((n, WIDTH), np.float32)
-    for a in range(0, n, AT_ONCE):
-        b = min(n, a + AT_ONCE)
-        low, high = int(starts[a]), int(ends[b - 1])
-        owner = np.repeat(np.arange(b - a), lengths[a:b])
-        left = np.repeat(last[doc[a:b]], lengths[a:b]) - np.arange(low, high) - 1
-        out[a:b, :-2] = _features(data[low : high + 2], left, owner, b - a)
-    out[:, -2], out[:, -1] = np.log1p(lengths) / 6, np.log1p(sizes[doc]) / 10
-    return out, counts
+
+    def __init__(self, texts: pa.Array | list[str | None]):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = column.fill_null("") if column.null_count else column
+        sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        self.counts = np.maximum(1, np.rint(sizes / PASSAGE).astype(np.int64))
+        first = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(sizes)), self.counts)
+        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.starts = first[self.doc] + nth * sizes[self.doc] // self.counts[self.doc]
+        self.ends = first[self.doc] + (nth + 1) * sizes[self.doc] // self.counts[self.doc]
+        self.last, self.sizes, self.kept = first + sizes, sizes, column
+
+    def features(self) -> Iterator[np.ndarray]:
+        """Features of the passages, in order, in several parts.
+
+        Shares of byte classes, shares of hashed character triples, the evenness of those, the share of
+        words that repeat the word before, and lengths. Texts don't influence each other.
+        """
+        for a in range(0, len(self.doc), AT_ONCE):
+            b = min(len(self.doc), a + AT_ONCE)
+            low, high = int(self.starts[a]), int(self.ends[b - 1])
+            lengths = self.ends[a:b] - self.starts[a:b]
+            owner = np.repeat(np.arange(b - a), lengths)
+            left = np.repeat(self.last[self.doc[a:b]], lengths) - np.arange(low, high) - 1
+            made = _features(self.data[low : high + 2], left, owner, b - a)
+            size = np.stack([np.log1p(lengths) / 6, np.log1p(self.sizes[self.doc[a:b]]) / 10], axis=1)
+            yield np.concatenate([made, size.astype(np.float32)], axis=1)
+
+
+def encode_passages(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every passage of every text, about 1.2 times its bytes, and the number of passages of each text."""
+    passages = Passages(texts)
+    return np.concatenate([np.zeros((0, WIDTH), np.float32), *passages.features()]), passages.counts
 
 
 class AttentionModel:
@@ -101,21 +115,38 @@ class AttentionModel:
         self.p = {k: (r.normal(0, s[0] ** -0.5, s) if len(s) > 1 or k in "wc" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
         self.mean, self.scale = np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32)
 
-    def forward(self, x: np.ndarray, counts: np.ndarray) -> dict:
+    def gated(self, x: np.ndarray) -> dict:
+        """Each passage for itself: its state h, the gate's halves v and u, and the weight e before the softmax."""
         p = self.p
         x = np.clip((x - self.mean) / self.scale, -8, 8)
-        starts = np.cumsum(counts) - counts
         h = np.tanh(x @ p["W"] + p["b"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (v * u) @ p["w"]
+        return {"x": x, "h": h, "v": v, "u": u, "e": (v * u) @ p["w"]}
+
+    def pooled(self, h: np.ndarray, e: np.ndarray, counts: np.ndarray) -> dict:
+        """Attention a of the passages of each document, their weighted sum z and the document's score."""
+        starts = np.cumsum(counts) - counts
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
         a = e / np.repeat(np.add.reduceat(e, starts), counts)
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
-        score = 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
-        return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "score": score, "starts": starts}
+        return {"a": a, "z": z, "score": 1 / (1 + np.exp(-(z @ self.p["c"] + self.p["d"]))), "starts": starts}
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return self.forward(*encode_passages(texts))["score"] if texts else np.zeros(0)
+    def forward(self, x: np.ndarray, counts: np.ndarray) -> dict:
+        made = self.gated(x)
+        return made | self.pooled(made["h"], made["e"], counts)
+
+    def score(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """Scores to six digits. Of a passage only its state is kept, so a text takes a fifth of its bytes beside itself."""
+        if not len(texts):
+            return np.zeros(0)
+        passages = Passages(texts)
+        states, weights = [], []
+        for x in passages.features():
+            made = self.gated(x)
+            states.append(made["h"])
+            weights.append(made["e"])
+        h, e = np.concatenate(states), np.concatenate(weights)
+        return np.round(self.pooled(h, e, passages.counts)["score"].astype(np.float64), 6)
 
     def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Those of the mean log loss, by parameter."""
@@ -166,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "t", BLOCK):
-            x, counts = encode_passages(part.column("t").to_pylist())
+            x, counts = encode_passages(part.column("t"))
             ends = np.cumsum(counts)
             raw = [x[e - c : e].astype(np.float16).tobytes() for c, e in zip(counts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), pa.array(raw, pa.binary())], names=["id", "y", "h", "x"])
@@ -186,8 +217,8 @@ def classify(docs: DataFrame, model: AttentionModel, text: str = "text", thresho
     """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted`` (1 from ``threshold`` up).
 
     Every passage of the whole text counts. Null and empty texts are one empty passage and have a
-    score too. Texts are scored in blocks of about 2 MB; a longer one is a block of its own, whose
-    features take about six times its bytes. Rows are independent: a score depends on the text
+    score too. Texts are scored in blocks of about 2 MB; a longer one is a block of its own, of whose
+    passages only the states are in memory together, a fifth of its bytes. Rows are independent: a score depends on the text
     alone, repeated rows and null ids stay, and no rows give none. Older columns ``score`` and
     ``predicted`` are replaced.
     """
@@ -196,7 +227,7 @@ def classify(docs: DataFrame, model: AttentionModel, text: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text, BLOCK):
-            scores = model.score(part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores.astype(np.float64))], names=[*part.schema.names, "score"])
+            scores = model.score(part.column(text))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
 
     return arrow_rows(docs).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
