@@ -200,9 +200,11 @@ def ranked(pieces: DataFrame, histogram: dict[int, int], rows_per_group: int = 2
     """``pieces`` with ``rank``, from 0 without gaps among the pieces of each length.
 
     One length may hold most pieces, so each is dealt by hash into as many groups as its number
-    needs: ranks within a group are shifted by the sizes of the groups before it.
+    needs, up to 64 small ones before they grow to ``rows_per_group``: ranks within a group are
+    shifted by the sizes of the groups before it.
     """
-    sizes_of = [max(1, -(-histogram.get(n, 0) // rows_per_group)) for n in range(1, max(histogram, default=1) + 1)]
+    needed = lambda n: max(1, -(-n // rows_per_group), min(64, -(-n // 64)))
+    sizes_of = [needed(histogram.get(n, 0)) for n in range(1, max(histogram, default=1) + 1)]
     groups = F.element_at(F.split(F.lit(",".join(map(str, sizes_of))), ",").cast("array<int>"), F.col("length").cast("int"))  # folded to a constant
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), groups))
     sizes = dealt.groupBy("length", "__group").agg(F.count("*").alias("n"))
