@@ -2,45 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import portable_hash
 from ..sources.shared import cut
+from . import draws
 from .ordering import numbered
 
 SEED, RESAMPLES = 20260729, 10_000
 
 
-#: Values that every executor gets, so that draws meet them where they are made; more are joined.
+#: Values that the driver and every executor get, so that draws meet them where they are made; more are joined.
 MOST_SENT = 4_000_000
 
 
+def _sent_means(values: DataFrame, by: list[str], sizes: list[int], resamples: int, seed: int) -> DataFrame:
+    """__g, b and m, the mean of resample ``b`` of group ``__g`` (groups with ``sizes`` values, in order of ``by``).
+
+    A draw's hash is the same for all groups, so it is made once. The driver gets the values, sorted,
+    and the executors get them from it.
+    """
+    column = values.orderBy(*by, "id").select(F.col("v").cast("double").alias("v")).toArrow()["v"]
+    known = column.is_valid().to_numpy()
+    points, ends = np.where(known, column.fill_null(0.0).to_numpy(), 0.0), np.cumsum(sizes)
+    points = [points[e - n : e] for n, e in zip(sizes, ends, strict=True)]
+    known = None if known.all() else [known[e - n : e] for n, e in zip(sizes, ends, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in batch.select(["start", "end"]).to_pandas().itertuples(index=False):
+                sums = np.zeros((len(points), end - start))
+                counts = np.zeros_like(sums)
+                for low, high, digits in draws.numbers(0, max(sizes, default=0)):
+                    tails = np.concatenate([np.full((high - low, 1), 45, np.uint8), digits], axis=1)
+                    for i, j, heads in draws.heads(seed, start, end, high - low):
+                        hashed, places = draws.hashes(heads, tails), {}
+                        for g, n in enumerate(sizes):
+                            if n > low:
+                                if n not in places:  # the quotient by a number is quicker than the rest
+                                    own = hashed[:, : n - low]
+                                    places = {n: own - own // np.uint32(n) * np.uint32(n)}
+                                sums[g, i - start : j - start] += points[g][places[n]].sum(axis=1)
+                                counts[g, i - start : j - start] += places[n].shape[1] if known is None else known[g][places[n]].sum(axis=1)
+                for g in range(len(points)):
+                    some = counts[g] > 0
+                    m = pa.array(np.divide(sums[g], counts[g], out=np.zeros(end - start), where=some), mask=~some)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(end - start, g, np.int32)), pa.array(np.arange(start, end)), m], names=["__g", "b", "m"])
+
+    spark = values.sparkSession
+    tasks = spark.sparkContext.defaultParallelism * 2
+    ranges = spark.range(0, tasks, 1, tasks).select((F.col("id") * resamples / tasks).cast("long").alias("start"), ((F.col("id") + 1) * resamples / tasks).cast("long").alias("end"))
+    return ranges.where("start < end").mapInArrow(run, "__g int, b long, m double")
+
+
+def _joined_means(values: DataFrame, by: list[str], groups: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """As ``_sent_means``, of any number of values: draws are shuffled to the values' places. ``groups`` has __g and n."""
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    named = groups.select("__g", *[F.col(c).alias(f"__by_{c}") for c in by])
+    points = numbered(values.select(*by, "id", "v"), ["id"], "i", by)
+    points = (points.join(F.broadcast(named), same) if by else points.crossJoin(F.broadcast(named))).select("__g", F.col("i").cast("int").alias("i"), "v")
+    spark = values.sparkSession
+    drawn = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism * 2).select(F.col("id").alias("b"))
+    drawn = drawn.crossJoin(F.broadcast(groups.select("__g", "n")))  # a row per group
+    drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    drawn = drawn.select("__g", "b", F.pmod(portable_hash(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).cast("int").alias("i"))
+    return drawn.join(points, ["__g", "i"]).groupBy("__g", "b").agg(F.avg("v").alias("m"))
+
+
 def bootstrap(values: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
     """n, mean, lo and hi of a column ``v`` per group: resampled means at places int(.025 B) and int(.975 B), from 0.
 
     A resample's j-th draw is a portable hash of (seed, resample, j), n * ``resamples`` of them by
-    definition. They are made by resample and summed there, so the shuffle carries one sum per
-    resample and partition.
+    definition. They are made by resample, once for all groups, and summed there. Null values are in no mean.
     """
     by = by or []
-    mine = values.select(*by, "id", "v")
-    base = mine.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    points = numbered(mine, ["id"], "i", by).select(*by, F.col("i").cast("int").alias("i"), "v")
-    points = F.broadcast(points) if values.count() <= MOST_SENT else points
-    spark = values.sparkSession
-    drawn = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism * 2).select(F.col("id").alias("b"))
-    drawn = drawn.crossJoin(F.broadcast(base.where("n > 0").select(*by, "n")))  # a row per group
-    drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    drawn = drawn.select(*by, "b", "n", F.pmod(portable_hash(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).cast("int").alias("i"))
-    means = drawn.join(points, [*by, "i"]).groupBy(*by, "b").agg((F.sum("v") / F.max("n")).alias("m"))
-    order = Window.partitionBy(*by).orderBy(F.round("m", 9), "b")  # as many rows as resamples
+    base = values.groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    base = base.orderBy(*by) if by else base
+    found = [r for r in base.collect() if r["n"]]  # a row per group
+    groups = values.sparkSession.createDataFrame([(g, *r) for g, r in enumerate(found)], StructType([StructField("__g", IntegerType()), *base.schema.fields]))
+    sizes = [r["n"] for r in found]
+    means = _sent_means(values, by, sizes, resamples, seed) if sum(sizes) <= MOST_SENT else _joined_means(values, by, groups, resamples, seed)
+    order = Window.partitionBy("__g").orderBy(F.round("m", 9).asc_nulls_last(), "b")  # as many rows as resamples
     places = means.withColumn("r", F.row_number().over(order) - 1)
     at = lambda q: F.max(F.when(F.col("r") == int(q * resamples), F.col("m")))
-    ends = places.groupBy(*by).agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
-    return base.join(ends, by) if by else base.crossJoin(ends)  # one row each
+    ends = places.groupBy("__g").agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
+    if not found and not by:
+        return base.crossJoin(ends.select("lo", "hi").unionByName(ends.sparkSession.createDataFrame([(None, None)], "lo double, hi double")))  # no values: one row
+    return groups.join(ends, "__g", "left").drop("__g")
 
 
 def binomial_two_sided(wins: Column, n: Column) -> Column:

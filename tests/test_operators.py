@@ -1,9 +1,12 @@
 """Operators on literal cases."""
 
+import hashlib
 import json
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -350,3 +353,34 @@ def test_spans_by_brute_force(spark):
             want[u] = min(later, default=130) - 1
     got = hierarchy.unit_spans(spark.createDataFrame(rows, "unit int, level_rank int, p0 long").repartition(5), 130).collect()
     assert {r.unit: r.p1 for r in got} == want
+
+
+@pytest.mark.parametrize("seed", ["7", "20260729-" * 8])
+def test_draws_are_md5(seed):
+    """Of messages of any length, over several blocks too."""
+    from spindrift.operators import draws
+
+    first = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    ids = ["", "-7", "-007", "-ä日本", "-" + "x" * 47, "-" + "x" * 55, "-" + "y" * 200]
+    for start, end, heads in draws.heads(seed, 8, 12, 5000):
+        for places, tails in draws.same_lengths(pa.array(["cut", *ids]).slice(1)):
+            want = [[first(f"{seed}-{b}{ids[i]}") for i in places] for b in range(start, end)]
+            assert draws.hashes(heads, tails).tolist() == want
+    assert [(a, b) for a, b, _ in draws.numbers(8, 102)] == [(8, 10), (10, 100), (100, 102)]
+
+
+def test_resamples_and_flips_are_as_defined(spark):
+    """In groups of the same items and sizes, and of others; nulls are in no mean."""
+    first = lambda *t: int(hashlib.md5("-".join(map(str, t)).encode()).hexdigest()[:8], 16)
+    rows = [(g, f"i{i:03}", ((i * 7 + len(g)) % 9 - 4.4) / 8) for g, n in (("a", 120), ("bb", 120), ("ccc", 31)) for i in range(n)]
+    values = spark.createDataFrame(rows, "name string, id string, v double")
+    boot = {r.name: r for r in stats.bootstrap(values, 40, by=["name"]).collect()}
+    flips = {r.name: r for r in stats.permutation(values, 40, by=["name"]).collect()}
+    for g in ("a", "bb", "ccc"):
+        ids, v = zip(*[(i, x) for name, i, x in rows if name == g], strict=True)
+        means = sorted(sum(v[first(stats.SEED, b, j) % len(v)] for j in range(len(v))) / len(v) for b in range(40))
+        assert (boot[g].n, boot[g].lo, boot[g].hi) == (len(v), pytest.approx(means[1]), pytest.approx(means[39]))
+        sums = [sum(x if first(stats.SEED, b, i) & 1 else -x for i, x in zip(ids, v, strict=True)) for b in range(40)]
+        assert flips[g].p == sum(abs(x) >= abs(sum(v)) - 1e-12 for x in sums) / 40
+    nulls = spark.createDataFrame([(0, None)] + [(i, 2.0) for i in range(1, 9)], "id int, v double")
+    assert stats.bootstrap(nulls, 30).select("n", "mean", "lo", "hi").first() == (9, 2.0, 2.0, 2.0)
