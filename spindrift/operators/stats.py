@@ -21,6 +21,7 @@ SEED, RESAMPLES = 20260729, 10_000
 
 #: Values that the driver and every executor get, so that draws meet them where they are made; more are joined.
 MOST_SENT = 4_000_000
+IDS_A_TASK = 20_000  # of sign flips
 
 
 def _sent_means(values: DataFrame, by: list[str], sizes: list[int], resamples: int, seed: int) -> DataFrame:
@@ -114,6 +115,45 @@ def mcnemar(pairs: DataFrame, a: str = "a", b: str = "b", by: list[str] | None =
     return wins.withColumns({"p": binomial_two_sided(F.col("a_wins"), F.col("a_wins") + F.col("b_wins")), "odds_ratio": odds})
 
 
+def _drawn_sums(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """__g, b and s, partial sums of ``v`` of rows (id, __g, v), each with the sign that flip ``b`` draws for its id.
+
+    Rows of an id are brought together, as the draw is the same for all groups.
+    """
+    owned = rows.groupBy("id").agg(F.collect_list("__g").alias("g"), F.collect_list("v").alias("v")).withColumn("id", F.concat(F.lit("-"), F.col("id").cast("string")))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 2, -(-rows.count() // IDS_A_TASK))
+
+    def add(table: pa.Table, sums: dict[int, np.ndarray]) -> None:
+        ids, g, v = (table.column(c).combine_chunks() for c in ("id", "g", "v"))
+        of = np.repeat(np.arange(len(ids)), g.value_lengths().to_numpy())
+        g, v = g.flatten().to_numpy(), v.flatten().to_numpy()
+        place = np.zeros(len(ids), np.int64)
+        for places, tails in draws.same_lengths(ids.fill_null("")):  # a null adds nothing to the message
+            place[:] = -1
+            place[places] = np.arange(len(places))
+            mine = place[of]
+            groups = [(sums.setdefault(x, np.zeros(resamples)), mine[at := (mine >= 0) & (g == x)], v[at]) for x in np.unique(g[mine >= 0]).tolist()]
+            for i, j, heads in draws.heads(seed, 0, resamples, len(places)):
+                signs = (draws.hashes(heads, tails) & np.uint32(1)) * 2.0 - 1.0
+                for total, at, value in groups:
+                    total[i:j] += (signs[:, at] * value).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= draws.AT_ONCE:
+                add(pa.Table.from_batches(kept), sums)
+                kept = []
+        if sum(b.num_rows for b in kept):
+            add(pa.Table.from_batches(kept), sums)
+        for x, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, x, np.int32)), pa.array(np.arange(resamples)), pa.array(s)], names=["__g", "b", "s"])
+
+    return owned.repartition(tasks).mapInArrow(run, "__g int, b long, s double")
+
+
 def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, exact: int = 13, by: list[str] | None = None) -> DataFrame:
     """n, m (not zero), mean and p of a sign-flip test on a column ``v``, per group of ``by``.
 
@@ -122,23 +162,24 @@ def permutation(differences: DataFrame, resamples: int = RESAMPLES, seed: int =
     meets every flip where it is; sums per flip are partial before they are shuffled.
     """
     by = by or []
-    base = differences.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("m"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
-    few = F.col("m") <= exact
-    flips = F.when(few, F.expr("shiftleft(1L, cast(m as int))")).otherwise(F.lit(resamples).cast("long"))
-    base = base.withColumn("flips", flips)
-    groups = F.broadcast(base.select(*by, "m", "total", "flips"))  # a row per group
+    base = differences.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("m"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("v"), F.lit(0.0)).cast("double").alias("total"))
+    base = base.orderBy(*by) if by else base
+    found = base.collect()  # a row per group
+    groups = differences.sparkSession.createDataFrame([(g, *r) for g, r in enumerate(found)], StructType([StructField("__g", IntegerType()), *base.schema.fields]))
+    groups = groups.withColumn("flips", F.when(F.col("m") <= exact, F.expr("shiftleft(1L, cast(m as int))")).otherwise(F.lit(resamples).cast("long")))
+    named = F.broadcast(groups.select("__g", "m", "flips", *[F.col(c).alias(f"__by_{c}") for c in by]))
     rows = differences.where("v <> 0")
-    rows = rows.join(groups, by) if by else rows.crossJoin(groups)
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1
-    small = rows.where(few).withColumn("i", nth).select(*by, "v", "total", "flips", F.col("i").cast("int").alias("i"), F.lit(True).alias("all"), F.col("id").cast("string").alias("id"))  # ``exact`` rows a group
-    large = rows.where(~few).select(*by, "v", "total", "flips", F.lit(0).alias("i"), F.lit(False).alias("all"), F.col("id").cast("string").alias("id"))
-    met = small.unionByName(large).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("flips") - 1)))
-    bit = F.when(F.col("all"), F.call_function("shiftright", F.col("b"), F.col("i"))).otherwise(portable_hash(F.lit(seed), F.col("b"), F.col("id")))
-    sign = F.when(bit.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    sums = met.groupBy(*by, "b").agg(F.sum(sign * F.col("v")).alias("s"), F.first("total").alias("total"), F.first("flips").alias("flips"))
-    far = sums.groupBy(*by).agg((F.count_if(F.abs("s") >= F.abs("total") - 1e-12) / F.max("flips")).alias("p"))
-    out = base.join(far, by, "left") if by else base.crossJoin(far)  # one row
-    return out.select(*by, "n", "m", "mean", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("p")).alias("p"))
+    rows = rows.join(named, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]) if by else rows.crossJoin(named)
+    rows = rows.select("id", "__g", "m", "flips", F.col("v").cast("double").alias("v"))
+    nth = (F.row_number().over(Window.partitionBy("__g").orderBy("id")) - 1).cast("int")
+    few = rows.where(F.col("m") <= exact).withColumn("i", nth).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("flips") - 1)))  # ``exact`` rows a group
+    sign = F.when(F.call_function("shiftright", F.col("b"), F.col("i")).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    sums = few.select("__g", "b", (sign * F.col("v")).alias("s"))
+    if any(r["m"] > exact for r in found):
+        sums = sums.unionByName(_drawn_sums(rows.where(F.col("m") > exact).select("id", "__g", "v"), resamples, seed))
+    sums = sums.groupBy("__g", "b").agg(F.sum("s").alias("s")).join(F.broadcast(groups.select("__g", "total", "flips")), "__g")
+    far = sums.groupBy("__g").agg((F.count_if(F.abs("s") >= F.abs("total") - 1e-12) / F.max("flips")).alias("p"))
+    return groups.join(far, "__g", "left").select(*by, "n", "m", "mean", F.when(F.col("m") == 0, F.lit(1.0)).otherwise(F.col("p")).alias("p"))
 
 
 def sign_flips(differences: DataFrame) -> DataFrame:
