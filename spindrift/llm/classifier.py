@@ -16,6 +16,7 @@ PASSAGE = 512  # bytes
 BLOCK = 2_000_000  # bytes of texts encoded together
 FINE, BUCKETS = 1024, 128  # hashes of triples; each bucket sums FINE / BUCKETS of them
 AT_ONCE = 2048  # passages whose fine counts are in memory together
+LEARNED = 65_536  # passages whose gradients are made together, those of whole documents
 #: Classes of bytes: upper case, lower case and beyond ASCII, digits, spaces, line ends, full stops, commas, exclamation marks, symbols, the rest.
 CLASSES = np.full(256, 9, np.uint8)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(97, 123)) + bytes(range(128, 256)), b"0123456789", b" \t", b"\n\r", b".?;:", b",", b"!", b"#*$%&|<>=_")):
@@ -148,11 +149,11 @@ class AttentionModel:
         h, e = np.concatenate(states), np.concatenate(weights)
         return np.round(self.pooled(h, e, passages.counts)["score"].astype(np.float64), 6)
 
-    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Those of the mean log loss, by parameter."""
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, of: int = 0) -> dict[str, np.ndarray]:
+        """Those of the mean log loss, by parameter; or their part in the mean over ``of`` documents."""
         f, p = self.forward(x, counts), self.p
         h, v, u, a = f["h"], f["v"], f["u"], f["a"]
-        s = (f["score"] - y) / np.float32(len(y))
+        s = (f["score"] - y) / np.float32(of or len(y))
         dz = s[:, None] * p["c"]
         per = np.repeat(dz, counts, axis=0)
         da = (per * h).sum(axis=1)
@@ -163,16 +164,29 @@ class AttentionModel:
         return {"W": f["x"].T @ dh, "b": dh.sum(axis=0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": f["z"].T @ s, "d": np.array([s.sum()], np.float32)}
 
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.02, decay: float = 1e-3) -> AttentionModel:
-        """Full-batch Adam on log loss; deterministic. With one label only, the score is constant."""
+        """Full-batch Adam on log loss; deterministic. With one label only, the score is constant.
+
+        Gradients are sums over parts of about ``LEARNED`` passages, so beside ``x``, of 16 or 32 bits,
+        memory holds the numbers of one part.
+        """
         if not len(y) or y.min() == y.max():
             self.p = {k: np.zeros_like(v) for k, v in self.p.items()}
             self.p["d"][:] = 0 if not len(y) else 4 if y[0] else -4
             return self
-        self.mean, self.scale = x.mean(axis=0, dtype=np.float64).astype(np.float32), x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+        ends = np.cumsum(counts)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // LEARNED)) + 1).tolist(), len(counts)]
+        parts = [(slice(ends[i] - counts[i], ends[j - 1]), slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
+        mean = sum(x[at].sum(axis=0, dtype=np.float64) for at, _ in parts) / len(x)
+        spread = np.sqrt(sum(((x[at] - mean) ** 2).sum(axis=0) for at, _ in parts) / len(x))
+        self.mean, self.scale = mean.astype(np.float32), spread.astype(np.float32) + np.float32(1e-3)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         for step in range(1, epochs + 1):
             p = self.p
-            for k, g in self.gradients(x, counts, y).items():
+            whole: dict[str, np.ndarray] = {}
+            for at, docs in parts:
+                for k, g in self.gradients(x[at].astype(np.float32), counts[docs], y[docs], len(y)).items():
+                    whole[k] = whole[k] + g if k in whole else g
+            for k, g in whole.items():
                 g = g + np.float32(decay) * p[k]
                 m = moments[k]
                 m[0] = np.float32(0.9) * m[0] + np.float32(0.1) * g
@@ -189,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_pass
     hash. ``prepare`` may change the sample's texts, given with the name of their column. Texts of over ``most_passages`` passages (about 512 bytes each) are left out of the sample.
     What reaches the driver is the sample's features, whole texts encoded on the executors:
     ``most_labels * most_passages`` rows of 16-bit numbers at most, 300 MB as set here, and about
-    2 MB where texts are 2,000 bytes long.
+    2 MB where texts are 2,000 bytes long. They come partition by partition and stay 16-bit numbers.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y in (0, 1)")
     own = own.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.avg("y").alias("y"))
@@ -205,12 +219,13 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 4000, most_pass
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_passages * PASSAGE)
     joined = arrow_rows(texts.join(F.broadcast(sample.select(F.col("id").cast("long").alias("id"), "y")), "id"))  # most_labels rows
     joined = (prepare(joined, "t") if prepare else joined).select("id", "y", F.xxhash64("t").alias("h"), "t")
-    rows = joined.mapInArrow(run, "id long, y double, h long, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
-    rows.sort(key=lambda r: r["id"])
-    if not rows:
-        return AttentionModel().fit(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
-    x = [np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH) for r in rows]
-    return AttentionModel().fit(np.concatenate(x).astype(np.float32), np.array([len(i) for i in x]), np.array([r["y"] >= 0.5 for r in rows], np.float32))
+    made = joined.mapInArrow(run, "id long, y double, h long, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x"))
+    rows = sorted(((r["id"], r["y"], np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH)) for r in made.toLocalIterator()), key=lambda r: r[0])
+    counts, y = np.array([len(r[2]) for r in rows], int), np.array([r[1] >= 0.5 for r in rows], np.float32)
+    x, start = np.empty((counts.sum(), WIDTH), np.float16), 0
+    for i, n in enumerate(counts):
+        x[start : start + n], rows[i], start = rows[i][2], None, start + n
+    return AttentionModel().fit(x, counts, y)
 
 
 def classify(docs: DataFrame, model: AttentionModel, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -266,3 +266,24 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.MASK in clean[3].text and clean[3].n_chars == len(clean[3].text) and clean[0].text == one
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "minhash_near_dedup", "secret_scan", "packing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
+
+
+def test_training_holds_one_part_beside_its_features(monkeypatch):
+    """Features stay 16-bit numbers, and parts give what the whole gives."""
+    import tracemalloc
+
+    from spindrift.llm import classifier
+
+    r = np.random.default_rng(5)
+    counts = r.integers(1, 40, 2_000)
+    y = (r.random(2_000) < 0.5).astype(np.float32)
+    x = (r.random((counts.sum(), classifier.WIDTH)) * 0.2 + np.repeat(y, counts)[:, None] * 0.05).astype(np.float16)
+    whole = classifier.AttentionModel().fit(x, counts, y, epochs=4)
+    monkeypatch.setattr(classifier, "LEARNED", 1_000)
+    tracemalloc.start()
+    parts = classifier.AttentionModel().fit(x, counts, y, epochs=4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    for k, v in whole.p.items():
+        assert parts.p[k] == pytest.approx(v, abs=2e-3), k
